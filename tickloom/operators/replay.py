@@ -17,11 +17,11 @@ exponential averages), so in practice a couple of rounds suffice.
 from __future__ import annotations
 
 import json
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -44,17 +44,66 @@ _OUT = [
     T.StructField("z_score", T.DoubleType()),
     T.StructField("alpha", T.DoubleType()),
 ]
+Step = Callable[[list, pa.Table, object], tuple[pa.Table, object]]
 
 
-def _run(policy: str, cfg: Mapping, table: pa.Table, aux: Sequence[str], state):
-    values = table.column("value").to_pylist()
-    side = {a: table.column(a).to_pylist() for a in aux}
-    out = K.Columns()
-    state = POLICIES[policy](values, side, cfg, state, out)
-    return out, state
+def sequential(rows: DataFrame, by: Sequence[str], position: str, step: Step, schema: T.StructType,
+               small: bool, multiple: int = 1) -> DataFrame:
+    """Run ``step(key, ordered rows, state) -> (result, state)`` along every key.
 
+    ``position`` is the integer order column. Small inputs run one key per task; larger
+    ones are cut into pieces of bounded length as described in the module text.
+    """
+    by = list(by)
+    if small:
+        def whole(key, table):
+            return step([k.as_py() for k in key], table.sort_by(position), None)[0]
+
+        return rows.groupBy(*by).applyInArrow(whole, schema)
+
+    size = -(-chunk_ticks(rows.sparkSession) // multiple) * multiple
+    keys = by + ["__piece"]
+    rows = cut(rows.withColumn("__piece", F.floor(F.col(position) / F.lit(size))))
+    state_schema = T.StructType(
+        [rows.schema[k] for k in keys]
+        + [T.StructField("start", T.StringType()), T.StructField("end", T.StringType())])
+
+    def begin(right):
+        start = right.column("start")[0].as_py() if right.num_rows else None
+        return start, None if start is None else json.loads(start)
+
+    def states(key, left, right):
+        """End state of one piece, from the start state in ``right`` (none = fresh)."""
+        start, state = begin(right)
+        _, end = step([k.as_py() for k in key][:-1], left.sort_by(position), state)
+        kinds = [(k, left.schema.field(k).type) for k in keys]
+        data = {k: [v.as_py()] for k, v in zip(keys, key)}
+        data["start"], data["end"] = [start], [json.dumps(end, sort_keys=True)]
+        return pa.table(data, schema=pa.schema(kinds + [("start", pa.string()), ("end", pa.string())]))
+
+    def emit(key, left, right):
+        return step([k.as_py() for k in key][:-1], left.sort_by(position), begin(right)[1])[0]
 
-def _to_arrow(key_names, key_values, config_id: int, table: pa.Table, out: K.Columns) -> pa.Table:
+    grouped = lambda df: df.groupBy(*keys)
+    empty = rows.sparkSession.createDataFrame([], T.StructType(
+        [rows.schema[k] for k in keys] + [T.StructField("start", T.StringType())]))
+    known = cut(grouped(rows).cogroup(grouped(empty)).applyInArrow(states, state_schema))
+    while True:
+        # A piece is stale when it did not start from the end of the piece before
+        # (the nearest earlier one; a key need not have rows in every piece).
+        order = Window.partitionBy(*by).orderBy("__piece")
+        stale = cut(
+            known.withColumn("held", F.col("start")).withColumn("start", F.lag("end").over(order))
+            .where(~F.col("start").eqNullSafe(F.col("held"))).select(*keys, "start"))
+        if stale.isEmpty():
+            break
+        again = rows.join(stale.select(*keys), keys, "left_semi")
+        fresh = grouped(again).cogroup(grouped(stale)).applyInArrow(states, state_schema)
+        known = cut(known.join(stale.select(*keys), keys, "left_anti").unionByName(fresh))
+    return grouped(rows).cogroup(grouped(known.select(*keys, "start"))).applyInArrow(emit, schema)
+
+
+def _columns(key_names, key_values, config_id: int, table: pa.Table, out: K.Columns) -> pa.Table:
     n = table.num_rows
     arrays = {k: pa.array([v] * n, type=table.schema.field(k).type)
               for k, v in zip(key_names, key_values)}
@@ -91,7 +140,6 @@ def replay(
     """
     by = list(by)
     configs = [policy_config(policy, dict(c)) for c in configs]
-    names = by + ["tick", "value", *aux]
     rows = trace.select(*by, F.col("tick").cast("long"), F.col("value").cast("double"), *aux)
     blocks = [list(range(i, min(i + CONFIGS_PER_TASK, len(configs))))
               for i in range(0, len(configs), CONFIGS_PER_TASK)]
@@ -99,21 +147,22 @@ def replay(
         rows = rows.withColumn("__block", F.explode(F.sequence(F.lit(0), F.lit(len(blocks) - 1))))
     else:
         rows = rows.withColumn("__block", F.lit(0))
-    schema = T.StructType([trace.schema[k] for k in by] + _OUT)
+    kernel = POLICIES[policy]
+
+    def step(key, table, state):
+        values = table.column("value").to_pylist()
+        side = {a: table.column(a).to_pylist() for a in aux}
+        parts, after = [], {}
+        for c in blocks[key[-1]]:
+            out = K.Columns()
+            after[str(c)] = kernel(values, side, configs[c], (state or {}).get(str(c)), out)
+            parts.append(_columns(by, key[:-1], c, table, out))
+        return pa.concat_tables(parts), after
 
-    if is_small(trace) if small is None else small:
-        def whole(key, table):
-            table = table.sort_by("tick")
-            vals = [k.as_py() for k in key]
-            parts = []
-            for c in blocks[vals[-1]]:
-                out, _ = _run(policy, configs[c], table, aux, None)
-                parts.append(_to_arrow(by, vals[:-1], c, table, out))
-            return pa.concat_tables(parts)
-
-        played = rows.groupBy(*by, "__block").applyInArrow(whole, schema)
-    else:
-        played = _replay_pieces(rows, configs, blocks, policy, by, aux, schema)
+    schema = T.StructType([trace.schema[k] for k in by] + _OUT)
+    played = sequential(rows, [*by, "__block"], "tick", step, schema,
+                        is_small(trace) if small is None else small,
+                        piece_multiple(policy, configs))
     status = F.element_at(F.array(*[F.lit(s) for s in K.STATUS_NAMES]), F.col("__status") + 1)
     return played.select(
         *by, "config_id", "tick", "value", "sampled", "interval", "urgency",
@@ -121,71 +170,6 @@ def replay(
         "mean", "std", "z_score", "alpha")
 
 
-def _replay_pieces(rows, configs, blocks, policy, by, aux, schema) -> DataFrame:
-    multiple = piece_multiple(policy, configs)
-    size = -(-chunk_ticks(rows.sparkSession) // multiple) * multiple
-    keys = by + ["__block", "__piece"]
-    rows = cut(rows.withColumn("__piece", F.floor(F.col("tick") / F.lit(size))))
-    state_schema = T.StructType(
-        [rows.schema[k] for k in keys]
-        + [T.StructField("start", T.StringType()), T.StructField("end", T.StringType())])
-
-    def states(key, left, right):
-        """End states of one piece, from the start states in ``right`` (none = fresh)."""
-        if left.num_rows == 0:
-            return pa.table({f.name: [] for f in state_schema}, schema=_arrow(state_schema, left, right))
-        vals = [k.as_py() for k in key]
-        start = right.column("start")[0].as_py() if right.num_rows else None
-        begin = json.loads(start) if start is not None else {}
-        table = left.sort_by("tick")
-        end = {}
-        for c in blocks[vals[-2]]:
-            _, end[str(c)] = _run(policy, configs[c], table, aux, begin.get(str(c)))
-        data = {k: [v] for k, v in zip(keys, vals)}
-        data["start"], data["end"] = [start], [json.dumps(end, sort_keys=True)]
-        return pa.table(data, schema=_arrow(state_schema, left, right))
-
-    def _arrow(target: T.StructType, left: pa.Table, right: pa.Table) -> pa.Schema:
-        kinds = {}
-        for f in target:
-            side = left if f.name in left.schema.names else None
-            kinds[f.name] = side.schema.field(f.name).type if side is not None else pa.string()
-        return pa.schema(list(kinds.items()))
-
-    def advance(known: DataFrame) -> DataFrame:
-        """Start state of each piece as the end state of the piece before."""
-        return known.select(*by, "__block", (F.col("__piece") + 1).alias("__piece"),
-                            F.col("end").alias("start"))
-
-    empty = rows.sparkSession.createDataFrame([], T.StructType(
-        [rows.schema[k] for k in keys] + [T.StructField("start", T.StringType())]))
-    grouped = lambda df: df.groupBy(*keys)
-    known = cut(grouped(rows).cogroup(grouped(empty)).applyInArrow(states, state_schema))
-    while True:
-        held = known.select(*keys, F.col("start").alias("held"))
-        stale = cut(
-            advance(known).join(held, keys)
-            .where(~F.col("start").eqNullSafe(F.col("held"))).drop("held"))
-        if stale.isEmpty():
-            break
-        again = rows.join(stale.select(*keys), keys, "left_semi")
-        fresh = grouped(again).cogroup(grouped(stale)).applyInArrow(states, state_schema)
-        known = cut(known.join(stale.select(*keys), keys, "left_anti").unionByName(fresh))
-
-    def emit(key, left, right):
-        vals = [k.as_py() for k in key]
-        start = right.column("start")[0].as_py() if right.num_rows else None
-        begin = json.loads(start) if start is not None else {}
-        table = left.sort_by("tick")
-        parts = []
-        for c in blocks[vals[-2]]:
-            out, _ = _run(policy, configs[c], table, aux, begin.get(str(c)))
-            parts.append(_to_arrow(by, vals[:-2], c, table, out))
-        return pa.concat_tables(parts)
-
-    return grouped(rows).cogroup(grouped(known.select(*keys, "start"))).applyInArrow(emit, schema)
-
-
 def masked_replay(trace: DataFrame, config: Mapping[str, object], mask: str = "sampled",
                   interval: str = "interval", urgency: str | None = None,
                   by: Sequence[str] = ("series_id",), small: bool | None = None) -> DataFrame:
