@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -70,3 +72,18 @@ def zscore(x: Column, mean: Column, std: Column) -> Column:
 def micros(ts: Column | str) -> Column:
     """Microseconds since the epoch."""
     return F.unix_micros(col(ts).cast("timestamp"))
+
+
+def hash_uniform(*identity: Column) -> Column:
+    """Uniform number in (0, 1) that depends only on the row's identity.
+
+    Unlike ``rand`` it does not change with the partitioning or a retried task.
+    """
+    text = F.concat_ws(":", *[p.cast("string") for p in identity])
+    return (F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double") + 0.5) / F.lit(4294967296.0)
+
+
+def hash_normal(*identity: Column) -> Column:
+    """Standard normal number that depends only on the row's identity."""
+    radius = F.sqrt(F.lit(-2.0) * F.log(hash_uniform(F.lit("a"), *identity)))
+    return radius * F.cos(F.lit(2.0 * math.pi) * hash_uniform(F.lit("b"), *identity))

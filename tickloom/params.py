@@ -136,9 +136,11 @@ def config_label(params: Iterable[str]) -> Column:
     owner = {p: m for m, ps in MAPPING_PARAMS.items() for p in ps}
     parts = []
     for p in params:
-        text = F.concat(F.lit(f"{p}="), F.col(p).cast("string"))
+        shown = F.regexp_replace(F.col(p).cast("string"), r"\.0$", "")
+        text = F.concat(F.lit(f"{p}="), shown)
         parts.append(F.when(F.col("interval_mapping") == owner[p], text) if p in owner else text)
-    return F.concat_ws(", ", *parts)
+    label = F.concat_ws(", ", *parts)
+    return F.when(label == "", F.lit("default")).otherwise(label)
 
 
 def encode(config: Mapping[str, object]) -> str:
