@@ -108,3 +108,12 @@ def live_summary(rows: DataFrame, by: Sequence[str] = KEYS) -> DataFrame:
         *by, "start_tick", "end_tick", n.alias("n_total"), "n_sampled",
         (F.col("n_sampled") / n).alias("sample_ratio"), F.coalesce("__max", few).cast("long").alias("max_gap"),
         F.coalesce("__mean", few).alias("mean_gap"), F.coalesce("__p95", few).alias("p95_gap"))
+
+
+def top_spikes(df: DataFrame, by: Sequence[str], value: str, limit: int = 12) -> DataFrame:
+    """Rows at or above the 99th percentile, at most ``limit`` largest per key."""
+    by = list(by)
+    cut_at = percentiles(df, by, F.col(value), {"__p99": 0.99})
+    high = df.join(cut_at, by).where(F.col(value) >= F.col("__p99")).drop("__p99")
+    ranked = number_rows(high, by, [F.col(value).desc(), F.col("tick").desc()], "__rank")
+    return ranked.where(F.col("__rank") < limit).drop("__rank")

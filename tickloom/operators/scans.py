@@ -311,10 +311,50 @@ def group_stats(
 
 
 def _join_groups(left: DataFrame, right: DataFrame, by: list[str], take: list[str]) -> DataFrame:
-    if not by:
-        return left.crossJoin(right)  # one row each
-    renamed = right.select(*[F.col(k).alias(f"__g{i}") for i, k in enumerate(by)], *take)
+    keys = [F.col(k) for k in by] or [F.lit(0)]
+    renamed = right.select(*[k.alias(f"__g{i}") for i, k in enumerate(keys)], *take)
+    keyed = left.select("*", *[k.alias(f"__h{i}") for i, k in enumerate(keys)])
     match = F.lit(True)
-    for i, k in enumerate(by):
-        match = match & left[k].eqNullSafe(renamed[f"__g{i}"])
-    return left.join(renamed, match, "left").drop(*[f"__g{i}" for i in range(len(by))])
+    for i in range(len(keys)):
+        match = match & F.col(f"__h{i}").eqNullSafe(F.col(f"__g{i}"))
+    extra = [f"__g{i}" for i in range(len(keys))] + [f"__h{i}" for i in range(len(keys))]
+    return keyed.join(renamed, match, "left").drop(*extra)
+
+
+def halo_windows(
+    df: DataFrame,
+    by: Sequence[str],
+    position: str,
+    before: int,
+    after: int,
+    out: Mapping[str, Column | tuple[Column, int, int]],
+    small: bool | None = None,
+) -> DataFrame:
+    """Bounded frames over a dense integer position, one row per position.
+
+    ``out`` maps a name to an aggregate (or offset function) over the frame
+    ``[-before, after]``, or to ``(expression, low, high)`` with a smaller frame. In
+    the chunked plan a chunk also receives the few rows around its borders, so the
+    data is moved once and a frame never needs a whole key.
+    """
+    by = list(by)
+
+    def columns(window) -> list[Column]:
+        cols = []
+        for n, spec in out.items():
+            expr, low, high = spec if isinstance(spec, tuple) else (spec, -before, after)
+            cols.append(expr.over(window.rowsBetween(low, high)).alias(n))
+        return cols
+
+    if is_small(df) if small is None else small:
+        window = Window.partitionBy(*by).orderBy(position)
+        return df.select("*", *columns(window))
+
+    size = F.lit(max(chunk_ticks(df.sparkSession), before + after + 1))
+    at = F.col(position)
+    home = F.floor(at / size)
+    needed = F.sequence(F.floor((at - after) / size), F.floor((at + before) / size))
+    spread = df.select("*", home.alias("__home"), F.explode(needed).alias(CHUNK))
+    window = Window.partitionBy(*by, CHUNK).orderBy(position)
+    wide = spread.select("*", *columns(window))
+    return wide.where(F.col("__home") == F.col(CHUNK)).drop("__home", CHUNK)

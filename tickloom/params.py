@@ -118,6 +118,19 @@ def config_frame(spark: SparkSession, configs: list[dict[str, object]]) -> DataF
     return spark.createDataFrame(rows, schema)
 
 
+def with_configs(df: DataFrame, configs: list[dict[str, object]]) -> DataFrame:
+    """Every row once per configuration, with the configuration's columns.
+
+    The list is a literal inside the plan, so nothing is joined or broadcast.
+    """
+    kind = {n: type(v) for n, v in DEFAULTS.items()}
+    literal = F.array(*[
+        F.struct(F.lit(i).alias("config_id"), *[F.lit(kind[n](c[n])).alias(n) for n in DEFAULTS])
+        for i, c in enumerate(configs)
+    ])
+    return df.withColumn("__c", F.explode(literal)).select(*df.columns, "__c.*")
+
+
 def is_valid(n_ticks: Column) -> Column:
     """Configurations a grid search accepts for a trace of ``n_ticks``."""
     return (

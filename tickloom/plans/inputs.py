@@ -68,10 +68,10 @@ phases AS (
 def requests(spark, d) -> DataFrame:
     """Request rows: run = user_id mod 10, one second per hour since the first event."""
     e = events(spark, d).withColumn("__h", hour_of("ts"))
-    first = e.agg(F.min("__h").alias("__h0"))
-    return e.crossJoin(first).select(
+    first = e.agg(F.min("__h")).scalar()
+    return e.select(
         (F.col("user_id") % 10).alias("run"), F.col("event_id").alias("event_index"),
-        (F.col("__h") - F.col("__h0")).alias("second"), F.col("event_type").alias("request_type"),
+        (F.col("__h") - first).alias("second"), F.col("event_type").alias("request_type"),
         (F.col("value") - 50.0).alias("delta"), F.rint(F.col("value") * 1e6).cast("long").alias("execution"))
 
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import functions as F
 
 from tickloom.functions import shaping as sh
@@ -14,7 +12,7 @@ from tickloom.operators.counters import per_tick_value
 from tickloom.operators.masks import n_of_m, thin_evenly
 from tickloom.operators.replay import replay
 from tickloom.operators.scans import following, previous, scan
-from tickloom.params import DEFAULTS, MAPPING_ABLATION, config_frame, config_label, grid, is_valid, make_config
+from tickloom.params import config_label, grid, is_valid, make_config, with_configs
 from tickloom.plans.fidelity import kept_events, rounded
 from tickloom.plans.inputs import SEC, events, sec_of
 from tickloom.plans.registry import q6, query
@@ -246,10 +244,10 @@ def prj14(spark, d):
 g AS (SELECT a, t, tol, hi FROM (SELECT unnest([0.0, 0.05, 1.0]) AS a), (SELECT unnest([0.0, 3.0]) AS t), (SELECT unnest([0, 3]) AS tol), (SELECT unnest([0, 20, 70]) AS hi))
 SELECT user_id, count(*) AS n_valid FROM n, g WHERE a > 0 AND a < 1 AND t > 0 AND tol >= 0 AND hi > 0 AND hi <= n AND hi >= 1 GROUP BY 1""")
 def prj15(spark, d):
-    cfg = config_frame(spark, grid({"alpha_base": [0.0, 0.05, 1.0], "outlier_threshold": [0.0, 3.0], "drift_tolerance": [0, 3],
-                                    "max_interval": [0, 20, 70]}))
+    configs = grid({"alpha_base": [0.0, 0.05, 1.0], "outlier_threshold": [0.0, 3.0], "drift_tolerance": [0, 3],
+                                    "max_interval": [0, 20, 70]})
     sizes = events(spark, d).groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
-    return sizes.join(F.broadcast(cfg), is_valid(F.col("n"))).groupBy("user_id").agg(F.count(F.lit(1)).alias("n_valid"))
+    return with_configs(sizes, configs).where(is_valid(F.col("n"))).groupBy("user_id").agg(F.count(F.lit(1)).alias("n_valid"))
 
 
 @query("prj16_urgency_gradient", f"""WITH RECURSIVE {USERS}, {sampler('poll', 'trace', threshold=3.0)}
@@ -296,8 +294,7 @@ NAMES = (*MAPPINGS, "linear_rate")
        + " UNION ALL ".join(f"SELECT event_id, '{n}' AS mapping, {mapping_sql(n)} AS interval FROM u" for n in NAMES))
 def prj19(spark, d):
     u = events(spark, d).select("event_id", F.least(F.col("value") / 200.0, F.lit(1.0)).alias("u"))
-    cfg = config_frame(spark, [make_config(interval_mapping=n) for n in NAMES])
-    return u.crossJoin(F.broadcast(cfg)).select("event_id", F.col("interval_mapping").alias("mapping"),
+    return with_configs(u, [make_config(interval_mapping=n) for n in NAMES]).select("event_id", F.col("interval_mapping").alias("mapping"),
                                                 interval_of_config(F.col("u")).alias("interval"))
 
 
