@@ -1,0 +1,9 @@
+"""Adaptive-sampling analytics on Spark DataFrames."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions of this package travel to the Python workers with the query, so
+# executors need no copy of it on their path.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

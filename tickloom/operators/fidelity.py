@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from tickloom.functions.numeric import safe_corr, safe_div
 from tickloom.operators.reconstruct import KEYS, hold_last, interpolate
-from tickloom.operators.scans import group_stats, last_known, number_rows, previous, running_sum, scan
+from tickloom.operators.scans import group_stats, last_known, number_rows, previous, running_sum, scan, with_size
+from tickloom.session import reuse
 
 # Shares of the largest magnitudes that count as peaks.
 PEAK_SHARES = (0.01, 0.02, 0.05, 0.10, 0.20)
@@ -30,22 +31,32 @@ def sampling_gaps(df: DataFrame, by: Sequence[str] = KEYS) -> DataFrame:
         *by, "tick", (F.col("tick") - F.col("__prev")).alias("gap"))
 
 
-def sampling_efficiency(df: DataFrame, by: Sequence[str] = KEYS) -> DataFrame:
-    """n, kept, ratio and max / mean / p95 gap; with one kept tick the gaps equal n."""
-    by = list(by)
-    totals = df.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n_total"), F.sum(_flag(F.col("sampled"))).alias("n_sampled"))
+def _gap(df: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Adds ``gap``: on kept ticks, the distance to the kept tick before."""
+    kept_at = F.when(F.col("sampled"), F.col("tick"))
+    wide = scan(df, by, ["tick"], {"__prev": last_known(kept_at, inclusive=False)}, "tick")
+    return wide.withColumn("gap", F.when(F.col("sampled"), F.col("tick") - F.col("__prev"))).drop("__prev")
+
+
+def _efficiency(by: Sequence[str]) -> tuple[list[Column], dict, list[Column]]:
+    """Aggregates, percentiles and final columns of the efficiency metrics."""
     gap = F.col("gap").cast("double")
-    gaps = group_stats(sampling_gaps(df, by), by,
-                       [F.max("gap").alias("__max"), F.avg(gap).alias("__mean")],
-                       {"__p95": (gap, 0.95)})
+    stats = [F.count(F.lit(1)).alias("n_total"), F.sum(_flag(F.col("sampled"))).alias("n_sampled"),
+             F.max("gap").alias("__max"), F.avg(gap).alias("__mean")]
     n = F.col("n_total").cast("double")
-    return totals.join(gaps, by, "left").select(
-        *by, "n_total", "n_sampled",
+    final = [
+        F.col("n_total"), F.col("n_sampled"),
         (F.col("n_sampled") / F.col("n_total")).alias("sample_ratio"),
         F.coalesce("__max", "n_total").cast("long").alias("max_gap"),
         F.coalesce("__mean", n).alias("mean_gap"),
-        F.coalesce("__p95", n).alias("p95_gap"))
+        F.coalesce("__p95", n).alias("p95_gap")]
+    return stats, {"__p95": (gap, 0.95)}, final
+
+
+def sampling_efficiency(df: DataFrame, by: Sequence[str] = KEYS) -> DataFrame:
+    """n, kept, ratio and max / mean / p95 gap; with one kept tick the gaps equal n."""
+    stats, points, final = _efficiency(by)
+    return group_stats(_gap(df, by), by, stats, points).select(*by, *final)
 
 
 def signal_range(by: Sequence[str], value: Column) -> Column:
@@ -59,11 +70,14 @@ def linear_reconstruction(df: DataFrame, by: Sequence[str] = KEYS) -> DataFrame:
     return interpolate(df, by, {"recon": F.when(F.col("sampled"), F.col("value"))})
 
 
+def _rmse(by: Sequence[str], estimate: str, prefix: str) -> list[Column]:
+    off = F.col("value") - F.col(estimate)
+    rmse = F.sqrt(F.avg(off * off))
+    return [rmse.alias(f"{prefix}_rmse"), (rmse / signal_range(by, F.col("value"))).alias(f"{prefix}_nrmse")]
+
+
 def error_rmse(df: DataFrame, by: Sequence[str], estimate: str, prefix: str) -> DataFrame:
-    rmse = F.sqrt(F.avg((F.col("value") - F.col(estimate)) * (F.col("value") - F.col(estimate))))
-    return df.groupBy(*by).agg(
-        rmse.alias(f"{prefix}_rmse"),
-        (rmse / signal_range(by, F.col("value"))).alias(f"{prefix}_nrmse"))
+    return df.groupBy(*by).agg(*_rmse(by, estimate, prefix))
 
 
 def linear_error(df: DataFrame, by: Sequence[str] = KEYS) -> DataFrame:
@@ -78,8 +92,7 @@ def causal_error(df: DataFrame, by: Sequence[str] = KEYS) -> DataFrame:
 def peak_ranks(df: DataFrame, by: Sequence[str] = KEYS) -> DataFrame:
     """Adds ``peak_rank`` (1 = largest magnitude, ties by tick) and ``n_ticks``."""
     ranked = number_rows(df, by, [F.abs("value").desc(), F.col("tick")], "__rank")
-    sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n_ticks"))
-    return ranked.join(sizes, list(by)).withColumn("peak_rank", F.col("__rank") + 1).drop("__rank")
+    return with_size(ranked, by, "n_ticks").withColumn("peak_rank", F.col("__rank") + 1).drop("__rank")
 
 
 def top_count(share: float, n: Column) -> Column:
@@ -89,12 +102,19 @@ def top_count(share: float, n: Column) -> Column:
 def peak_recall(df: DataFrame, by: Sequence[str] = KEYS,
                 shares: Sequence[float] = PEAK_SHARES) -> DataFrame:
     """Share of the largest magnitudes whose tick was kept, for several set sizes."""
-    ranked = df if "peak_rank" in df.columns else peak_ranks(df, by)
-    return ranked.groupBy(*by).agg(*[
+    return _ranked(df, by).groupBy(*by).agg(*_recalls(shares))
+
+
+def _ranked(df: DataFrame, by: Sequence[str]) -> DataFrame:
+    return df if "peak_rank" in df.columns else peak_ranks(df, by)
+
+
+def _recalls(shares: Sequence[float]) -> list[Column]:
+    return [
         F.avg(F.when(F.col("peak_rank") <= top_count(s, F.col("n_ticks")),
                      _flag(F.col("sampled")))).alias(f"recall_top{round(s * 100)}")
         for s in shares
-    ])
+    ]
 
 
 def peak_recall_top5(df: DataFrame, by: Sequence[str] = KEYS) -> DataFrame:
@@ -128,7 +148,7 @@ def top_events(df: DataFrame, by: Sequence[str] = KEYS, share: float = 0.05) ->
     """Events = runs of top-share ticks, with the first kept tick inside each."""
     peak = F.col("peak_rank") <= top_count(share, F.col("n_ticks"))
     hit = F.min(F.when(F.col("sampled"), F.col("tick"))).alias("first_hit")
-    return runs(peak_ranks(df, by), by, peak, [hit])
+    return runs(_ranked(df, by), by, peak, [hit])
 
 
 def event_recall(df: DataFrame, by: Sequence[str] = KEYS, share: float = 0.05) -> DataFrame:
@@ -148,7 +168,9 @@ def event_recall(df: DataFrame, by: Sequence[str] = KEYS, share: float = 0.05) -
 def sampling_quality(df: DataFrame, by: Sequence[str] = KEYS) -> DataFrame:
     """Peak recalls, causal error and event recall in one row per key."""
     by = list(by)
-    return peak_recall(df, by).join(causal_error(df, by), by).join(event_recall(df, by), by)
+    ranked = reuse(peak_ranks(hold_last(df, by), by))
+    recalls, causal = _recalls(PEAK_SHARES), _rmse(by, "held", "causal")
+    return ranked.groupBy(*by).agg(*recalls, *causal).join(event_recall(ranked, by), by)
 
 
 def compare_tracks(dense: DataFrame, kept: DataFrame, dense_by: Sequence[str] = KEYS,
@@ -165,8 +187,7 @@ def compare_tracks(dense: DataFrame, kept: DataFrame, dense_by: Sequence[str] =
     return filled.join(full, [*dense_by, "tick"])
 
 
-def track_error(tracks: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Errors of tracked mean and std, correlation and band coverage."""
+def _track_stats(by: Sequence[str]) -> tuple[list[Column], dict]:
     err = F.abs(F.col("full_mean") - F.col("est_mean"))
     serr = F.abs(F.col("full_std") - F.col("est_std"))
     rmse = F.sqrt(F.avg(err * err))
@@ -175,34 +196,43 @@ def track_error(tracks: DataFrame, by: Sequence[str]) -> DataFrame:
     spread = signal_range(by, F.col("value"))
     inside = F.col("value").between(F.col("est_mean") - 3 * F.col("est_std"),
                                     F.col("est_mean") + 3 * F.col("est_std"))
-    return group_stats(
-        tracks, by,
-        [
-            F.avg(err).alias("mae_mean"),
-            rmse.alias("rmse_mean"),
-            (rmse / spread).alias("nrmse_mean"),
-            F.max(err).alias("max_mean_error"),
-            safe_corr(F.col("full_mean"), F.col("est_mean")).alias("correlation"),
-            recon_rmse.alias("raw_recon_rmse"),
-            (recon_rmse / spread).alias("raw_recon_nrmse"),
-            F.avg(serr).alias("mae_std"),
-            F.sqrt(F.avg(serr * serr)).alias("rmse_std"),
-            F.avg(_flag(inside)).alias("coverage_3sigma"),
-        ],
-        {"p50_error": (err, 0.5), "p90_error": (err, 0.9),
-         "p95_error": (err, 0.95), "p99_error": (err, 0.99)})
+    stats = [
+        F.avg(err).alias("mae_mean"),
+        rmse.alias("rmse_mean"),
+        (rmse / spread).alias("nrmse_mean"),
+        F.max(err).alias("max_mean_error"),
+        safe_corr(F.col("full_mean"), F.col("est_mean")).alias("correlation"),
+        recon_rmse.alias("raw_recon_rmse"),
+        (recon_rmse / spread).alias("raw_recon_nrmse"),
+        F.avg(serr).alias("mae_std"),
+        F.sqrt(F.avg(serr * serr)).alias("rmse_std"),
+        F.avg(_flag(inside)).alias("coverage_3sigma"),
+    ]
+    points = {f"p{round(p * 100)}_error": (err, p) for p in (0.5, 0.9, 0.95, 0.99)}
+    return stats, points
+
+
+def track_error(tracks: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Errors of tracked mean and std, correlation and band coverage."""
+    return group_stats(tracks, by, *_track_stats(by))
 
 
 def info_loss(dense: DataFrame, kept: DataFrame, dense_by: Sequence[str] = KEYS,
               by: Sequence[str] = ("series_id", "config_id")) -> DataFrame:
-    """The full information-loss report, one row per key."""
+    """The full information-loss report, one row per key.
+
+    All columns are added along one chain, so the replay below is run once.
+    """
     by = list(by)
-    tracks = compare_tracks(dense, kept, dense_by, by)
-    return (
-        sampling_efficiency(kept, by)
-        .join(track_error(tracks, by), by)
-        .join(peak_recall_top5(kept, by), by)
-    )
+    tracks = peak_ranks(_gap(compare_tracks(reuse(dense), reuse(kept), dense_by, by), by), by)
+    stats, points = _track_stats(by)
+    more, gaps, final = _efficiency(by)
+    top = F.col("peak_rank") <= F.greatest(F.lit(1), F.floor(F.col("n_ticks") / 20))
+    recall = F.avg(F.when(top, _flag(F.col("sampled")))).alias("peak_recall_top5")
+    report = group_stats(reuse(tracks), by, [*more, *stats, recall], {**gaps, **points})
+    names = ["mae_mean", "rmse_mean", "nrmse_mean", "max_mean_error", *points, "correlation", "raw_recon_rmse",
+             "raw_recon_nrmse", "peak_recall_top5", "mae_std", "rmse_std", "coverage_3sigma"]
+    return report.select(*by, *final, *names)
 
 
 def outlier_overlap(dense: DataFrame, kept: DataFrame, dense_by: Sequence[str] = KEYS,

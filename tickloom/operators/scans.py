@@ -358,3 +358,12 @@ def halo_windows(
     window = Window.partitionBy(*by, CHUNK).orderBy(position)
     wide = spread.select("*", *columns(window))
     return wide.where(F.col("__home") == F.col(CHUNK)).drop("__home", CHUNK)
+
+
+def with_size(df: DataFrame, by: Sequence[str], name: str, small: bool | None = None) -> DataFrame:
+    """Adds the number of rows of the key."""
+    by = list(by)
+    if is_small(df) if small is None else small:
+        return df.withColumn(name, F.count(F.lit(1)).over(Window.partitionBy(*by)))
+    sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias(name))
+    return _join_groups(df, sizes, by, [name])

@@ -26,4 +26,4 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 def q6(expr: str) -> str:
     """SQL twin of ``functions.numeric.r6``."""
-    return f"(round_even(CAST({expr} AS DOUBLE) * 1e6, 0) / 1e6 + 0.0)"
+    return f"(round_even(CAST({expr} AS DOUBLE) * 1e6 + 1e-4, 0) / 1e6 + 0.0)"

@@ -23,6 +23,7 @@ def local_session(cores: str = "8", app: str = "tickloom") -> SparkSession:
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config("spark.sql.dataFrameQueryContext.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("TICKLOOM_DRIVER_MEMORY", "16g"))
         .getOrCreate()
@@ -78,3 +79,8 @@ def is_small(df: DataFrame) -> bool:
 
 def chunk_ticks(spark: SparkSession) -> int:
     return int(_setting(spark, "spark.tickloom.chunkTicks", str(CHUNK_TICKS)))
+
+
+def reuse(df: DataFrame) -> DataFrame:
+    """``df`` for several uses: as it is when small, written once when not."""
+    return df if is_small(df) else cut(df)
