@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import os
 import sys
 import time
 
@@ -76,6 +77,9 @@ def main(patterns: list[str], folder: str) -> int:
 
     spark = local_session()
     spark.sparkContext.setLogLevel("ERROR")
+    if os.environ.get("TICKLOOM_PATH"):  # single or chunked
+        spark.conf.set("spark.tickloom.path", os.environ["TICKLOOM_PATH"])
+        spark.conf.set("spark.tickloom.chunkTicks", os.environ.get("TICKLOOM_CHUNK", "64"))
     con = connect(folder)
     failed = 0
     queries, oracles = entry.queries(), entry.oracle_sql()
