@@ -91,3 +91,8 @@ def hash_normal(*identity: Column) -> Column:
     """Standard normal number that depends only on the row's identity."""
     radius = F.sqrt(F.lit(-2.0) * F.log(hash_uniform(F.lit("a"), *identity)))
     return radius * F.cos(F.lit(2.0 * math.pi) * hash_uniform(F.lit("b"), *identity))
+
+
+def descending(c: Column | str) -> Column:
+    """Sort key that orders a number from high to low."""
+    return F.lit(0.0) - col(c)

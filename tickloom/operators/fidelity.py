@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.functions.numeric import safe_corr, safe_div
+from tickloom.functions.numeric import descending, safe_corr, safe_div
 from tickloom.operators.reconstruct import KEYS, hold_last, interpolate
 from tickloom.operators.scans import group_stats, last_known, number_rows, previous, running_sum, scan, with_size
 from tickloom.session import reuse
@@ -91,7 +91,7 @@ def causal_error(df: DataFrame, by: Sequence[str] = KEYS) -> DataFrame:
 
 def peak_ranks(df: DataFrame, by: Sequence[str] = KEYS) -> DataFrame:
     """Adds ``peak_rank`` (1 = largest magnitude, ties by tick) and ``n_ticks``."""
-    ranked = number_rows(df, by, [F.abs("value").desc(), F.col("tick")], "__rank")
+    ranked = number_rows(df, by, [descending(F.abs("value")), F.col("tick")], "__rank")
     return with_size(ranked, by, "n_ticks").withColumn("peak_rank", F.col("__rank") + 1).drop("__rank")
 
 

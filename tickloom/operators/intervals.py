@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.functions.numeric import safe_div
+from tickloom.functions.numeric import descending, safe_div
 from tickloom.operators.fidelity import KEYS, runs
 from tickloom.operators.reconstruct import asof_forward, interval_join
 from tickloom.operators.scans import group_stats, number_rows, percentiles, previous, running_sum, scan
@@ -85,7 +85,7 @@ def burst_peak_recall(df: DataFrame, found: DataFrame, by: Sequence[str] = KEYS,
     keys = by + ["burst"]
     inside = interval_join(df.select(*by, "tick", "value", "sampled"), found, by, "tick", "start", "end",
                            ["burst", "start", "end"], how="left").where(F.col("burst").isNotNull())
-    ranked = number_rows(inside, keys, [F.col("value").desc(), F.col("tick").desc()], "__rank")
+    ranked = number_rows(inside, keys, [descending("value"), descending("tick")], "__rank")
     k = F.greatest(F.lit(1), F.ceil((F.col("end") - F.col("start")) * F.lit(share)))
     top = ranked.where(F.col("__rank") < k)
     return top.groupBy(*keys).agg(
@@ -115,5 +115,5 @@ def top_spikes(df: DataFrame, by: Sequence[str], value: str, limit: int = 12) ->
     by = list(by)
     cut_at = percentiles(df, by, F.col(value), {"__p99": 0.99})
     high = df.join(cut_at, by).where(F.col(value) >= F.col("__p99")).drop("__p99")
-    ranked = number_rows(high, by, [F.col(value).desc(), F.col("tick").desc()], "__rank")
+    ranked = number_rows(high, by, [descending(value), descending("tick")], "__rank")
     return ranked.where(F.col("__rank") < limit).drop("__rank")

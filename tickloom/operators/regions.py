@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tickloom.functions.numeric import descending
 from tickloom.operators.scans import number_rows
 
 
@@ -21,7 +22,7 @@ def pick_regions(scores: DataFrame, by: Sequence[str], window: int, count: int,
     by = list(by)
     starts = scores.select(*by, "start", "score")
     blocked = 2 * min_gap + 1  # starts are integers, so no more can lie within the gap
-    ranked = number_rows(starts, by, [F.col("score").desc(), F.col("start")], "__rank")
+    ranked = number_rows(starts, by, [descending("score"), F.col("start")], "__rank")
     best = ranked.where(F.col("__rank") < count * (blocked + 1))
     ordered = F.transform(
         F.array_sort(F.collect_list(F.struct("__rank", "start", "score"))),

@@ -21,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.session import chunk_ticks, cut, is_small
+from tickloom.session import chunk_ticks, cut, is_small, range_count
 
 CHUNK = "__chunk"
 
@@ -134,14 +134,14 @@ def _combine(scan: Scan, inside: Column, carried: Column, edge: Column) -> Colum
 def range_chunks(df: DataFrame, by: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """Add ``__chunk``: consecutive row ranges of about equal size, written once.
 
+    Order columns sort ascending; for a descending number pass its negative.
     Spark samples the sort key, so a hot key (or a hot moment) is spread over as
     many ranges as its share of the rows. The written copy fixes the ranges for
     every later pass, also when executors are lost.
     """
     keyed = df.select("*", *[o.alias(f"__o{i}") for i, o in enumerate(order)])
     names = [f"__o{i}" for i in range(len(order))]
-    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = keyed.repartitionByRange(partitions, *by, *names)
+    ranged = keyed.repartitionByRange(range_count(df), *by, *names)
     return cut(ranged.withColumn(CHUNK, F.spark_partition_id().cast("long"))).drop(*names)
 
 

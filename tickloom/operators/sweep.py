@@ -8,7 +8,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.functions.numeric import safe_div
+from tickloom.functions.numeric import descending
 from tickloom.operators.fidelity import (causal_error, compare_tracks, info_loss, peak_recall,
                                          running_ratio, sampling_efficiency, sampling_quality, track_error)
 from tickloom.operators.masks import fixed_interval, n_of_m, shortest_period, thin_evenly
@@ -201,7 +201,7 @@ def pareto_frontier(sweep: DataFrame, x: str, y: str, bins: int = 45, by: Sequen
     up_y, up_x = y in HIGHER_IS_BETTER, x in HIGHER_IS_BETTER
     best = (F.max if up_y else F.min)(y).alias("best_y")
     cells = group_stats(binned, [*by, "bin"], [best], {"x_median": (F.col(x), 0.5)})
-    order = F.col("bin").desc() if up_x else F.col("bin")
+    order = descending("bin") if up_x else F.col("bin")
     running = (running_max if up_y else running_min)(F.col("best_y"))
     return scan(cells, by, [order], {"running_best": running}, small=True)  # at most ``bins`` rows per key
 

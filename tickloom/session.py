@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 # plain window per series; everything above takes the chunked plans.
 SMALL_INPUT_BYTES = 64 * 1024 * 1024
 CHUNK_TICKS = 1 << 20
+RANGE_BYTES = 128 * 1024 * 1024
+MAX_RANGES = 100_000
 
 
 def local_session(cores: str = "8", app: str = "tickloom") -> SparkSession:
@@ -51,7 +53,12 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def input_bytes(df: DataFrame) -> int:
-    """Bytes of the leaf relations below ``df`` (file sizes; no job is run)."""
+    """Bytes of the leaf relations below ``df`` (file sizes; no job is run).
+
+    A session that shows no plan (a remote one) counts as unknown, that is large.
+    """
+    if not hasattr(type(df), "_jdf") and "_jdf" not in df.__dict__:
+        return 1 << 62
     leaves = df._jdf.queryExecution().analyzed().collectLeaves()
     total = 0
     for i in range(leaves.size()):
@@ -84,3 +91,9 @@ def chunk_ticks(spark: SparkSession) -> int:
 def reuse(df: DataFrame) -> DataFrame:
     """``df`` for several uses: as it is when small, written once when not."""
     return df if is_small(df) else cut(df)
+
+
+def range_count(df: DataFrame) -> int:
+    """Row ranges for ``df``: about ``RANGE_BYTES`` each, at least the shuffle partitions."""
+    base = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(base, min(MAX_RANGES, input_bytes(df) // RANGE_BYTES))
