@@ -72,27 +72,30 @@ def following(expr: Column) -> Scan:
     return Scan("lead", expr, False)
 
 
-_FORWARD = {"last", "sum", "min", "max", "lag"}
 _AGG = {"sum": F.sum, "min": F.min, "max": F.max, "sufmin": F.min}
+_BACKWARD = {"next", "sufmin"}
 
 
-def _frame(window, scan: Scan):
-    if scan.kind in _FORWARD:
-        return window.rowsBetween(Window.unboundedPreceding, 0 if scan.inclusive else -1)
-    return window.rowsBetween(0 if scan.inclusive else 1, Window.unboundedFollowing)
+def _upto(window, inclusive: bool):
+    return window.rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
 
 
-def _inside(scan: Scan, window) -> Column:
-    """The scan over one window partition."""
-    if scan.kind == "last":
-        return F.last(scan.expr, ignorenulls=True).over(_frame(window, scan))
-    if scan.kind == "next":
-        return F.first(scan.expr, ignorenulls=True).over(_frame(window, scan))
+def _inside(scan: Scan, by: Sequence[str], cols: Sequence[Column]) -> Column:
+    """The scan over one window partition.
+
+    Looking ahead is looking back in the reverse order: a frame that grows backwards is
+    extended row by row, one that ends at the last row would be re-read for every row.
+    """
+    ahead = Window.partitionBy(*by).orderBy(*cols)
     if scan.kind == "lag":
-        return F.lag(scan.expr).over(window)
+        return F.lag(scan.expr).over(ahead)
     if scan.kind == "lead":
-        return F.lead(scan.expr).over(window)
-    return _AGG[scan.kind](scan.expr).over(_frame(window, scan))
+        return F.lead(scan.expr).over(ahead)
+    window = Window.partitionBy(*by).orderBy(*[c.desc() for c in cols]) if scan.kind in _BACKWARD else ahead
+    frame = _upto(window, scan.inclusive)
+    if scan.kind in ("last", "next"):
+        return F.last(scan.expr, ignorenulls=True).over(frame)
+    return _AGG[scan.kind](scan.expr).over(frame)
 
 
 def _summary(scan: Scan, order: Column) -> Column:
@@ -109,14 +112,14 @@ def _summary(scan: Scan, order: Column) -> Column:
     return _AGG[scan.kind](scan.expr)
 
 
-def _carry(scan: Scan, name: str, window) -> Column:
-    before = window.rowsBetween(Window.unboundedPreceding, -1)
-    after = window.rowsBetween(1, Window.unboundedFollowing)
-    if scan.kind in ("last", "lag"):
-        return F.last(name, ignorenulls=True).over(before)
-    if scan.kind in ("next", "lead"):
-        return F.first(name, ignorenulls=True).over(after)
-    return _AGG[scan.kind](name).over(before if scan.kind in _FORWARD else after)
+def _carry(scan: Scan, name: str, by: Sequence[str]) -> Column:
+    """Summary of all chunks before (or, for look-ahead, after) a chunk."""
+    back = scan.kind in _BACKWARD or scan.kind == "lead"
+    order = F.col(CHUNK).desc() if back else F.col(CHUNK)
+    frame = _upto(Window.partitionBy(*by).orderBy(order), inclusive=False)
+    if scan.kind in _AGG:
+        return _AGG[scan.kind](name).over(frame)
+    return F.last(name, ignorenulls=True).over(frame)
 
 
 def _combine(scan: Scan, inside: Column, carried: Column, edge: Column) -> Column:
@@ -161,8 +164,7 @@ def scan(
     by = list(by)
     cols = [F.col(o) if isinstance(o, str) else o for o in order]
     if is_small(df) if small is None else small:
-        window = Window.partitionBy(*by).orderBy(*cols)
-        return df.select("*", *[_inside(s, window).alias(n) for n, s in out.items()])
+        return df.select("*", *[_inside(s, by, cols).alias(n) for n, s in out.items()])
 
     if position is not None:
         size = chunk_ticks(df.sparkSession)
@@ -178,16 +180,15 @@ def scan_chunks(chunked: DataFrame, by: list[str], cols: list[Column], out: Mapp
     window = Window.partitionBy(*keys).orderBy(*cols)
     inside = chunked.select(
         "*",
-        *[_inside(s, window).alias(f"__i_{n}") for n, s in out.items()],
+        *[_inside(s, keys, cols).alias(f"__i_{n}") for n, s in out.items()],
         F.row_number().over(window).alias("__pos"),
         F.count(F.lit(1)).over(Window.partitionBy(*keys)).alias("__len"),
     )
     order = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(cols)])
     summary = chunked.groupBy(*keys).agg(*[_summary(s, order).alias(n) for n, s in out.items()])
-    over_chunks = Window.partitionBy(*by).orderBy(CHUNK)
     carried = summary.select(
         *[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)],
-        *[_carry(s, n, over_chunks).alias(f"__c_{n}") for n, s in out.items()],
+        *[_carry(s, n, by).alias(f"__c_{n}") for n, s in out.items()],
     )
     match = F.lit(True)
     for i, k in enumerate(keys):
