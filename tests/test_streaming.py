@@ -8,7 +8,7 @@ from tickloom.operators.replay import replay
 from tickloom.params import make_config
 from tickloom.streaming.drain import drain
 from tickloom.streaming.stateful import member_lifecycle, stream_replay
-from tickloom.streaming.windows import split_late, tumbling_counts
+from tickloom.streaming.windows import sliding_scores, split_late, tumbling_counts
 
 SCHEMA = "series_id string, tick long, value double"
 
@@ -66,3 +66,11 @@ def test_windows_on_streams(spark, tmp_path):
 def test_rows_past_the_horizon(spark):
     rows = split_late(spark.createDataFrame([(5,), (11,)], "second long"), "second", 10).orderBy("second").collect()
     assert [(r.second, r.capped) for r in rows] == [(5, False), (10, True)]
+
+
+def test_sliding_scores(spark):
+    rows = spark.createDataFrame([("a", i, 0.5, i in (3, 4)) for i in range(8)], "k string, tick long, urgency double, odd boolean")
+    timed = rows.withColumn("ts", F.timestamp_seconds("tick"))
+    got = sliding_scores(timed, "ts", "4 seconds", "2 seconds", ["k"], F.col("odd"), "urgency", 4.0)
+    best = got.orderBy(F.desc("score")).first()
+    assert (best.anomalies, best.score) == (2, 6.0) and got.count() == 5

@@ -173,6 +173,17 @@ def sampling_quality(df: DataFrame, by: Sequence[str] = KEYS) -> DataFrame:
     return ranked.groupBy(*by).agg(*recalls, *causal).join(event_recall(ranked, by), by)
 
 
+def mask_report(df: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Ratio, largest gap, causal error and peak recalls of masks, from one pass over the rows."""
+    by = list(by)
+    wide = peak_ranks(hold_last(_gap(df, by), by), by)
+    out = reuse(wide).groupBy(*by).agg(
+        F.count(F.lit(1)).alias("__n"), F.avg(F.when(F.col("sampled"), 1.0).otherwise(0.0)).alias("sample_ratio"),
+        F.max("gap").alias("__gap"), *_rmse(by, "held", "causal"), *_recalls(PEAK_SHARES))
+    rest = [c for c in out.columns if c not in (*by, "__n", "__gap", "sample_ratio")]
+    return out.select(*by, "sample_ratio", F.coalesce("__gap", "__n").cast("long").alias("max_gap"), *rest)
+
+
 def compare_tracks(dense: DataFrame, kept: DataFrame, dense_by: Sequence[str] = KEYS,
                    by: Sequence[str] = ("series_id", "config_id")) -> DataFrame:
     """Dense and reconstructed tracker columns side by side, one row per tick."""

@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-import json
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.functions.numeric import descending
-from tickloom.operators.fidelity import (causal_error, compare_tracks, info_loss, peak_recall,
-                                         running_ratio, sampling_efficiency, sampling_quality, track_error)
+from tickloom.operators.fidelity import info_loss, mask_report, running_ratio
 from tickloom.operators.masks import fixed_interval, n_of_m, shortest_period, thin_evenly
-from tickloom.operators.replay import masked_replay, n_of_m_replay, replay
+from tickloom.operators.replay import replay
 from tickloom.operators.scans import group_stats, percentiles, running_max, running_min, scan, with_size
 from tickloom.params import MAPPING_ABLATION, config_frame, config_label, make_config
 from tickloom.session import reuse
@@ -98,12 +96,6 @@ def two_pass(trace: DataFrame, config: dict, by: Sequence[str] = ("series_id",),
     return mask_report(rows, methods)
 
 
-def mask_report(masks: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Ratio, causal error and peak recalls of masks."""
-    eff = sampling_efficiency(masks, by).select(*by, "sample_ratio", "max_gap")
-    return eff.join(causal_error(masks, by), list(by)).join(peak_recall(masks, by), list(by))
-
-
 def envelope_sweep(trace: DataFrame, config: dict, min_intervals: Sequence[int], max_interval: int = 20,
                    by: Sequence[str] = ("series_id",)) -> DataFrame:
     """Samplers under common interval envelopes, with the fixed end points."""

@@ -4,16 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tickloom.functions.numeric import r6, safe_div
 from tickloom.operators import experiments as ex
 from tickloom.operators import overhead as ov
 from tickloom.operators import windows as wn
 from tickloom.operators.masks import n_of_m
-from tickloom.operators.scans import number_rows
-from tickloom.plans.fidelity import kept_events, rounded
+from tickloom.plans.fidelity import rounded
 from tickloom.plans.inputs import HOUR, PHASES, SEC, events, hour_of, phases, sec_of
 from tickloom.plans.registry import q6, query
-from tickloom.plans.sqltext import EVENTS, MASKED, USERS, corr
+from tickloom.plans.sqltext import EVENTS, USERS, corr
 from tickloom.plans.windows import FILLED, replicas
 from tickloom.sources import schedules as sc
 from tickloom.sources.tables import event_trace, user_trace

@@ -11,9 +11,8 @@ from tickloom.operators.reconstruct import hold_last
 from tickloom.operators.replay import replay
 from tickloom.params import make_config
 from tickloom.plans.registry import q6, query
-from tickloom.plans.sqltext import (EVENTS, MASKED, REVENUE, corr, efficiency, interpolated,
-                                    linear_interval, sampler, span, tracker)
-from tickloom.sources.tables import event_trace, revenue_trace
+from tickloom.plans.sqltext import EVENTS, MASKED, corr, efficiency, interpolated, sampler, span, tracker
+from tickloom.sources.tables import event_trace
 
 BASE = f"WITH {EVENTS}, {MASKED}"
 

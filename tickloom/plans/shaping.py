@@ -6,17 +6,16 @@ from pyspark.sql import functions as F
 
 from tickloom.functions import shaping as sh
 from tickloom.functions.mapping import MAPPINGS, interval_of_config
-from tickloom.functions.numeric import clamp, pct_change, pct_saved, r6, safe_div
-from tickloom.operators import fidelity as fd
+from tickloom.functions.numeric import clamp, pct_change, pct_saved, r6
 from tickloom.operators.counters import per_tick_value
-from tickloom.operators.masks import n_of_m, thin_evenly
+from tickloom.operators.masks import thin_evenly
 from tickloom.operators.replay import replay
 from tickloom.operators.scans import following, previous, scan
 from tickloom.params import config_label, grid, is_valid, make_config, with_configs
 from tickloom.plans.fidelity import kept_events, rounded
 from tickloom.plans.inputs import SEC, events, sec_of
 from tickloom.plans.registry import q6, query
-from tickloom.plans.sqltext import D, EVENTS, MASKED, USERS, linear_interval, sampler
+from tickloom.plans.sqltext import D, EVENTS, MASKED, USERS, sampler
 from tickloom.sources import synth
 from tickloom.sources.records import cpu_quantity
 from tickloom.sources.tables import event_trace, table, user_trace

@@ -9,8 +9,8 @@ from pyspark.sql import types as T
 from tickloom.functions.numeric import r6
 from tickloom.operators.masks import bernoulli, even_positions, n_of_m
 from tickloom.operators.policies import haar_sparsity
-from tickloom.operators.replay import masked_replay, n_of_m_replay, replay
-from tickloom.params import DEFAULTS, make_config
+from tickloom.operators.replay import masked_replay, replay
+from tickloom.params import make_config
 from tickloom.plans.fidelity import rounded
 from tickloom.plans.registry import q6, query
 from tickloom.plans.sqltext import (D, EVENTS, MASKED, REVENUE, USERS, linear_interval, masked_tracker,

@@ -10,15 +10,15 @@ from tickloom.operators import fidelity as fd
 from tickloom.operators import sweep as sw
 from tickloom.params import grid, make_config
 from tickloom.plans.fidelity import CFG, TRACKS, adaptive_events, kept_events, rounded
-from tickloom.plans.inputs import HOUR, events
+from tickloom.plans.inputs import events
 from tickloom.plans.registry import q6, query
-from tickloom.plans.requests import MARKS, REBUILT, SUMMARY, TELE, UNI, markers, uniform
+from tickloom.plans.requests import SUMMARY, TELE, UNI, markers, uniform
 from tickloom.plans.sqltext import EVENTS, MASKED, sampler
 from tickloom.plans.sweeps import LABELS, SWEEP, grid_sweep
 from tickloom.sources.tables import event_trace, table
 from tickloom.streaming.drain import drain, scratch_path
 from tickloom.streaming.stateful import member_lifecycle, stream_replay
-from tickloom.streaming.windows import sliding_scores, tumbling_counts
+from tickloom.streaming.windows import tumbling_counts
 
 
 def event_stream(spark, d):

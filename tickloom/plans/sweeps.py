@@ -4,14 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tickloom.functions.numeric import r6
 from tickloom.operators import fidelity as fd
 from tickloom.operators import sweep as sw
 from tickloom.operators.masks import n_of_m
 from tickloom.operators.replay import n_of_m_replay, replay
 from tickloom.params import grid, make_config, with_configs
-from tickloom.plans.fidelity import CFG, TRACKS, adaptive_events, kept_events, rounded, tracks
-from tickloom.plans.inputs import events
+from tickloom.plans.fidelity import CFG, TRACKS, kept_events, rounded, tracks
 from tickloom.plans.registry import q6, query
 from tickloom.plans.shaping import mapping_sql
 from tickloom.plans.sqltext import (D, EVENTS, MASKED, USERS, corr, efficiency, interpolated, masked_tracker, sampler, span, tracker)

@@ -11,14 +11,14 @@ from tickloom.operators import windows as wn
 from tickloom.operators.counters import sustained
 from tickloom.operators.regions import pick_regions
 from tickloom.operators.replay import replay
-from tickloom.operators.scans import number_rows, percentiles, running_max, running_min, scan
+from tickloom.operators.scans import number_rows, running_max, running_min, scan
 from tickloom.params import make_config
 from tickloom.plans.fidelity import kept_events, rounded
 from tickloom.plans.inputs import HOUR, PHASES, events, hour_of, phases
 from tickloom.plans.registry import q6, query
-from tickloom.plans.sqltext import EVENTS, MASKED, USERS, REVENUE, masked_tracker, sampler
+from tickloom.plans.sqltext import EVENTS, MASKED, USERS, sampler
 from tickloom.sources import schedules as sc
-from tickloom.sources.tables import event_trace, revenue_trace, user_trace
+from tickloom.sources.tables import event_trace, user_trace
 
 
 def anomalies_sql(name: str, source: str, z: float, k: int, warmup: int = 50) -> str:
