@@ -5,7 +5,10 @@ from __future__ import annotations
 import sys
 import types
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -64,3 +67,24 @@ def open_random(uri: str):
 def worker_store() -> dict:
     """What a Python worker keeps between tasks (functions travel by value, their globals do not stay)."""
     return sys.modules.setdefault("tickloom_worker_store", types.ModuleType("tickloom_worker_store")).__dict__
+
+
+def whole_groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
+    """Frames of whole groups, from batches sorted by ``keys``."""
+    held: list[pd.DataFrame] = []
+    size = 0
+    for batch in batches:
+        if not len(batch):
+            continue
+        held.append(batch)
+        size += len(batch)
+        values = batch[keys].to_numpy()
+        ended = np.flatnonzero((values != values[-1]).any(1))
+        if len(ended):  # the last group may go on in the next batch
+            rows = pd.concat(held, ignore_index=True)
+            cut = size - len(batch) + int(ended[-1]) + 1
+            yield rows.iloc[:cut].reset_index(drop=True)
+            held = [rows.iloc[cut:]]
+            size -= cut
+    if held:
+        yield pd.concat(held, ignore_index=True)

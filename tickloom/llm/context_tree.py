@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import fresh_folder, worker_store
+from tickloom.llm.common import fresh_folder, shuffle_partitions, whole_groups, worker_store
 
 DEPTH = 3
 END = 0xFF
@@ -175,17 +175,20 @@ def upper_levels(by_nearest: pd.DataFrame, below: pd.DataFrame) -> list[tuple]:
 def learn_tree(gram_counts: DataFrame, depth: int = DEPTH) -> DataFrame:
     """(gram, log10p) of all grams (gram, n), n being the training count (0 for grams seen elsewhere only).
 
-    Grams with the same two nearest bytes form a task's group (at most 256^(depth - 1) rows): their part of
-    the tree is theirs alone. Only the two top levels are put together on the driver, of bounded size.
+    Grams with the same two nearest bytes form a group (at most 256^(depth - 1) rows): their part of the tree
+    is theirs alone. Only the two top levels are put together on the driver, of bounded size.
     """
-    keyed = gram_counts.withColumn("nearest", F.shiftright("gram", 8).bitwiseAND(0xFFFF))
+    nearest = F.shiftright("gram", 8).bitwiseAND(0xFFFF)
+    keyed = (gram_counts.withColumn("nearest", nearest)
+             .repartition(shuffle_partitions(gram_counts.sparkSession), "nearest").sortWithinPartitions("nearest"))
 
-    def level_two(group: pd.DataFrame) -> pd.DataFrame:
-        level = subtree(group["gram"].to_numpy(), group["n"].to_numpy(np.float64), depth, 2)[-1]
-        used = np.flatnonzero(level[4][0])
-        return pd.DataFrame({"nearest": int(group["nearest"].iloc[0]) & 255, "node": used, "logp": level[4][0][used]})
+    def level_two(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in whole_groups(batches, ["nearest"]):
+            contexts, *_, logp = subtree(rows["gram"].to_numpy(), rows["n"].to_numpy(np.float64), depth, 2)[-1]
+            at, node = np.nonzero(logp)
+            yield pd.DataFrame({"nearest": contexts[at] & 255, "node": node, "logp": logp[at, node]})
 
-    below = (keyed.groupBy("nearest").applyInPandas(level_two, "nearest int, node int, logp double")
+    below = (keyed.mapInPandas(level_two, "nearest int, node int, logp double")
              .groupBy("nearest", "node").agg(F.sum("logp").alias("logp")).toPandas())
     by_nearest = (gram_counts.groupBy(F.shiftright("gram", 8).bitwiseAND(0xFF).alias("nearest"), F.col("gram").bitwiseAND(0xFF).alias("byte"))
                   .agg(F.sum("n").alias("n")).toPandas())
@@ -193,11 +196,12 @@ def learn_tree(gram_counts: DataFrame, depth: int = DEPTH) -> DataFrame:
         return gram_counts.select("gram", F.lit(0.0).alias("log10p"))
     upper = upper_levels(by_nearest, below)
 
-    def score(group: pd.DataFrame) -> pd.DataFrame:
-        key = group["gram"].to_numpy()
-        return pd.DataFrame({"gram": key, "log10p": gram_scores(key, group["n"].to_numpy(np.float64), depth, 2, upper)})
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in whole_groups(batches, ["nearest"]):
+            key = rows["gram"].to_numpy()
+            yield pd.DataFrame({"gram": key, "log10p": gram_scores(key, rows["n"].to_numpy(np.float64), depth, 2, upper)})
 
-    return keyed.groupBy("nearest").applyInPandas(score, "gram long, log10p double")
+    return keyed.mapInPandas(score, "gram long, log10p double")
 
 
 # ---- documents -----------------------------------------------------------------------------------------

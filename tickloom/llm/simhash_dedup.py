@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import free_name, shuffle_partitions, written
+from tickloom.llm.common import free_name, shuffle_partitions, whole_groups, written
 from tickloom.llm.components import components
 
 BITS = 64
@@ -146,20 +146,8 @@ def near_links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
             signed = fp.view(np.int64)
             return pd.DataFrame({"a": signed[ours], "b": signed[labels[ours]]})
 
-        held: list[pd.DataFrame] = []
-        for batch in batches:
-            if not len(batch):
-                continue
-            held.append(batch)
-            tail = batch.iloc[-1][["seg", "value", "p", "q"]].to_numpy()
-            whole = ~(batch[["seg", "value", "p", "q"]].to_numpy() == tail).all(1)
-            if whole.any():  # the last group may go on in the next batch
-                rows = pd.concat(held, ignore_index=True)
-                cut = len(rows) - len(batch) + int(np.flatnonzero(whole)[-1]) + 1
-                yield links(rows.iloc[:cut].reset_index(drop=True))
-                held = [rows.iloc[cut:]]
-        if held:
-            yield links(pd.concat(held, ignore_index=True))
+        for rows in whole_groups(batches, ["seg", "value", "p", "q"]):
+            yield links(rows)
 
     return dealt.mapInPandas(compare, "a long, b long")
 
