@@ -186,7 +186,8 @@ def replace_entities(docs: DataFrame, key: str = KEY, text_col: str = "text", co
     found, digest, table = free_name(docs, "found"), free_name(docs, "digest"), free_name(docs, "replacements")
     mentions = F.when(text.rlike(HINT), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)))
     marked = docs.withColumn(found, mentions).withColumn(found, F.when(F.size(found) > 0, F.col(found)))
-    marked = marked.withColumn(digest, F.when(F.col(found).isNotNull(), F.sha2(text, 256)))
+    # texts without an entity have no partner in the join; a short hash of their own keeps them apart
+    marked = marked.withColumn(digest, F.when(F.col(found).isNotNull(), F.sha2(text, 256)).otherwise(F.hex(F.xxhash64(text))))
     each = (marked.filter(F.col(found).isNotNull())
             .select(F.col(digest).alias("digest"), F.explode(F.array_distinct(found)).alias("surface")).distinct())
     each = written(each, "mentions")
@@ -196,9 +197,12 @@ def replace_entities(docs: DataFrame, key: str = KEY, text_col: str = "text", co
     chosen = surrogates(kinds.select("kind", "core").distinct(), key)
     new = (kinds.join(chosen, ["kind", "core"])
            .select("surface", _dressed(F.col("kind"), F.col("surface"), F.col("surrogate")).alias("new")))
+    # both are written, so that the sides of their joins are dealt anew and a frequent entity or text can be split
+    new = written(new, "replacements")
     tables = (each.join(new, "surface").groupBy("digest")
               .agg(F.map_from_entries(F.collect_list(F.struct("surface", "new"))).alias(table))
               .withColumnRenamed("digest", digest))
+    tables = written(tables, "tables")
     put = lambda m: F.coalesce(F.element_at(F.col(table), m), m)
     gaps = F.split(text, PATTERN, -1)
     joined = F.array_join(F.flatten(F.zip_with(gaps, F.transform(F.col(found), put), lambda g, r: F.array(g, F.coalesce(r, F.lit(""))))), "")
