@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import fresh_folder
+from tickloom.llm.common import fresh_folder, written
 
 
 @dataclass(frozen=True)
@@ -67,8 +67,8 @@ def scan_new_blobs(versions: DataFrame, ledger: str, rules: tuple[Rule, ...] = R
     done = (read_ledger(spark, ledger).filter(F.col("rule").isin(keys))
             .groupBy("blob").agg(F.collect_set("rule").alias("done")))
     todo = F.array_except(F.array(*[F.lit(k) for k in keys]), F.coalesce("done", F.array().cast("array<string>")))
-    pending = (blobs.join(done, "blob", "left").select("blob", "text", todo.alias("todo")).filter(F.size("todo") > 0)
-               .groupBy("blob").agg(F.first("text").alias("text"), F.first("todo").alias("todo")))
+    pending = (blobs.groupBy("blob").agg(F.first("text").alias("text")).join(done, "blob", "left")
+               .select("blob", "text", todo.alias("todo")).filter(F.size("todo") > 0))
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ready = {r.key: (re.compile(r.pattern, re.ASCII).finditer, r) for r in rules}
@@ -102,6 +102,7 @@ def secret_findings(versions: DataFrame, path_cols: list[str], ledger: str | Non
             .withColumn("at", order[F.col("rule")]))
     found = rows.groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list(F.transform("spans", lambda s: F.struct(
         s["start"].alias("start"), F.col("at.ord").alias("ord"), F.col("at.kind").alias("kind"), s["end"].alias("end")))))).alias("spans"))
+    found = written(found, "findings")  # both sides of the join are dealt anew, so that a blob of many paths can be split
     paths = versions.select(*path_cols, F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256).alias("blob"))
     empty = F.array().cast("array<struct<start:int,ord:int,kind:string,end:int>>")
     return paths.join(found, "blob", "left").select(*path_cols, "blob", F.coalesce("spans", empty).alias("spans"))
