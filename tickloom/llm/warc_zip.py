@@ -151,6 +151,7 @@ def with_roles(pages: DataFrame, min_bytes: int = 0, id_col: str = "page_id", ur
                         html.alias("html"), F.sha1(html).alias("digest"))
     first = (slim.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
              .filter("n > 1").select("digest", "first"))
+    first = written(first, "repeated")  # both sides of the join are dealt anew, so that a payload of many pages can be split
     revisits = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")) & (F.length("html") >= min_bytes)
     return slim.join(first, "digest", "left").select(
         "page_id", "url", "html", "digest", F.when(revisits, F.col("first")).alias("refers_to"))
