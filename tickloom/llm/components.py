@@ -26,8 +26,12 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.unionByName(near.select("u", F.col("low").alias("v"))).filter("u <> v").distinct()
 
 
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether every node points to one root and no root points on."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("into")).unionByName(
+        edges.select(F.col("v").alias("node"), F.lit(0).alias("out"), F.lit(1).alias("into")))
+    seen = ends.groupBy("node").agg(F.sum("out").alias("out"), F.max("into").alias("into"))
+    return seen.filter("out > 1 or out = 1 and into = 1").isEmpty()
 
 
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
@@ -36,12 +40,9 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     Loops, repeated and reversed edges are allowed, nulls are left out, no edge gives no row. Every round is
     written to the shared folder; the rounds grow with the logarithm of the longest path.
     """
-    now = written(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u <> v").distinct(), "edges")
-    state = _state(now)
-    while state[0]:
+    first = written(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u <> v"), "edges")
+    now = written(_small_star(first), "edges")  # from here on, edges run from larger to smaller nodes
+    while not _are_stars(now):
         now = written(_small_star(_large_star(now)), "edges")
-        before, state = state, _state(now)
-        if state == before:
-            break
     roots = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())

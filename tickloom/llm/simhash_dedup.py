@@ -124,7 +124,7 @@ def near_links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     """
     spark = prints.sparkSession
     parts = _segments(radius)
-    value = lambda a, w: F.shiftrightunsigned("fp", a).bitwiseAND((1 << w) - 1)
+    value = lambda a, w: F.shiftrightunsigned(F.shiftleft("fp", BITS - a - w), BITS - w)
     keyed = prints.select("fp", F.posexplode(F.array(*[value(a, w) for a, w in parts])).alias("seg", "value"))
     large = keyed.groupBy("seg", "value").agg(F.count("*").alias("n")).filter(F.col("n") > BLOCK_ROWS)
     blocks = F.coalesce(F.ceil(F.col("n") / BLOCK_ROWS), F.lit(1)).cast("int")
@@ -134,7 +134,7 @@ def near_links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
         .select("seg", "value", "fp", "own", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("other"))
         .select("seg", "value", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "fp")
         .repartition(shuffle_partitions(spark), "seg", "value", "p", "q")
-        .sortWithinPartitions("seg", "value", "p", "q"))
+        .sortWithinPartitions("seg", "value", "p", "q", "fp"))  # a group's smallest fingerprint becomes its root
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def links(rows: pd.DataFrame) -> pd.DataFrame:
@@ -162,8 +162,9 @@ def fingerprint_components(prints: DataFrame, radius: int = RADIUS) -> DataFrame
     linked = roots.join(distinct, roots["node"] == distinct["fp"]).select("fp", "root", "first_id")
     smallest = linked.groupBy("root").agg(F.min("first_id").alias("component_id"))
     named = linked.join(smallest, "root").select("fp", "component_id")
-    return (distinct.join(named, "fp", "left")
-            .select("fp", F.coalesce("component_id", "first_id").alias("component_id")))
+    # written, so that both sides of a join with documents are dealt anew and a fingerprint of many can be split
+    return written(distinct.join(named, "fp", "left")
+                   .select("fp", F.coalesce("component_id", "first_id").alias("component_id")), "components")
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, words_each: int = SHINGLE_WORDS, seed: int = SEED,
