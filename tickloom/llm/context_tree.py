@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import fresh_folder, shuffle_partitions, whole_groups, worker_store
+from tickloom.llm.common import fresh_folder, shuffle_partitions, whole_groups, worker_store, written
 
 DEPTH = 3
 END = 0xFF
@@ -283,7 +283,7 @@ def score_documents(docs: DataFrame, held_out: Column, depth: int = DEPTH, id_co
     texts = dealt("doc", "chunk", "doc_id", "held_out", "text")
     words, grams_ = dealt("word", "chunk", "word", "n"), dealt("gram", "chunk", "gram", "n")
 
-    vocabulary = words.groupBy("word").agg(F.sum("n").alias("n"))
+    vocabulary = written(words.groupBy("word").agg(F.sum("n").alias("n")), "vocabulary")
     distinct, running = vocabulary.filter("n > 0").agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     ends = texts.filter("not held_out").count()
     total, kinds = running + ends, distinct + (ends > 0)
