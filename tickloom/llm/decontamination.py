@@ -185,16 +185,19 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     Ties go to the first window. Repeated rows give repeated results; repeated items each match. Other
     columns are not read.
     """
-    out = None
-    slim = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    for rows in slices(benchmark, item_col, item_text_col, slice_bytes):
-        def search(batches: Iterator[pd.DataFrame], rows=rows) -> Iterator[pd.DataFrame]:
+    def searcher(rows: list[tuple[int, str]]):
+        def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             index = Benchmark(rows, at_least=at_least)
             for batch in batches:
                 found = [(d, *hit) for d, text in zip(batch["doc_id"], batch["text"]) for hit in index.find(text)]
                 yield pd.DataFrame(found, columns=["doc_id", "item_id", "start_word", "n_words", "similarity"])
 
-        part = slim.mapInPandas(search, "doc_id long, item_id long, start_word long, n_words long, similarity double")
+        return search
+
+    out = None
+    slim = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
+    for rows in slices(benchmark, item_col, item_text_col, slice_bytes):
+        part = slim.mapInPandas(searcher(rows), "doc_id long, item_id long, start_word long, n_words long, similarity double")
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -202,13 +205,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 def is_clean(benchmark: DataFrame, text: Column, item_col: str = "item_id", item_text_col: str = "text",
              at_least: float = SIMILARITY, slice_bytes: int = SLICE_BYTES) -> Column:
     """Boolean column: the text holds no benchmark item (null and empty texts are clean)."""
-    clean = F.lit(True)
-    for rows in slices(benchmark, item_col, item_text_col, slice_bytes):
-        def check(texts: Iterator[pd.Series], rows=rows) -> Iterator[pd.Series]:
+    def checker(rows: list[tuple[int, str]]):
+        def check(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
             index = Benchmark(rows, at_least=at_least)
             for batch in texts:
                 yield pd.Series([not index.find(t) for t in batch], dtype=bool)
 
         check.__annotations__ = {"texts": Iterator[pd.Series], "return": Iterator[pd.Series]}
-        clean = clean & F.pandas_udf(check, "boolean")(text)
+        return F.pandas_udf(check, "boolean")
+
+    clean = F.lit(True)
+    for rows in slices(benchmark, item_col, item_text_col, slice_bytes):
+        clean = clean & checker(rows)(text)
     return clean
