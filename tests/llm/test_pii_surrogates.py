@@ -51,7 +51,7 @@ def test_every_type_is_replaced_in_its_format(spark):
         if kind == "email":
             assert new.rpartition(".")[2] == e.rpartition(".")[2]
         if kind == "name":
-            assert new.split()[0] == e.split()[0] and len(new.split()) == len(e.split()) and all(w[0].isupper() for w in new.split())
+            assert new.split()[0] == e.split()[0] and len(new.split()) == len(e.split()) and all(w[0].isupper() for w in new.split()[1:])
     man, woman = got[[e for _, e in flat].index("Mr. John Smith")].text, got[[e for _, e in flat].index("г-жа Анна Петрова")].text
     assert man.split()[2] in ps.GIVEN["m"]["latin"] and woman.split()[2] in ps.GIVEN["f"]["cyrillic"]
 
