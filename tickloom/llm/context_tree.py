@@ -218,14 +218,14 @@ def score_documents(docs: DataFrame, held_out: Column, depth: int = DEPTH, id_co
         raise ValueError("depth must be 2 to 6")
     spark = docs.sparkSession
     folder = fresh_folder(spark, "lm")
-    schema = ("kind string, chunk string, word binary, gram long, n long, doc_id long, held_out boolean, text string")
+    schema = ("kind string, chunk long, word binary, gram long, n long, doc_id long, held_out boolean, text string")
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import uuid
+        from pyspark import TaskContext
 
         class Chunk:
-            def __init__(self):
-                self.name, self.size = uuid.uuid4().hex, 0
+            def __init__(self, number: int):
+                self.name, self.size = TaskContext.get().partitionId() << 32 | number, 0
                 self.train, self.other = Counter(), set()
                 self.grams = {False: ([], []), True: ([], [])}
                 self.waiting = 0
@@ -249,7 +249,7 @@ def score_documents(docs: DataFrame, held_out: Column, depth: int = DEPTH, id_co
                     self.settle()
 
             def named(self, kind: str, rows: int, **values) -> pd.DataFrame:
-                own = {"kind": np.full(rows, kind, object), "chunk": np.full(rows, self.name, object)}
+                own = {"kind": np.full(rows, kind, object), "chunk": np.full(rows, self.name, np.int64)}
                 return pd.DataFrame(own | values).reindex(columns=columns).astype({"word": object, "text": object})
 
             def rows(self):
@@ -262,7 +262,8 @@ def score_documents(docs: DataFrame, held_out: Column, depth: int = DEPTH, id_co
                 yield self.named("gram", len(k) + len(extra), gram=np.concatenate([k, extra]), n=np.concatenate([n, np.zeros(len(extra), np.int64)]))
 
         columns = ["kind", "chunk", "word", "gram", "n", "doc_id", "held_out", "text"]
-        chunk = Chunk()
+        number = 0
+        chunk = Chunk(number)
         for batch in batches:
             begin = 0
             for i, (text, out) in enumerate(zip(batch["text"], batch["held_out"])):
@@ -273,7 +274,8 @@ def score_documents(docs: DataFrame, held_out: Column, depth: int = DEPTH, id_co
                     begin = i + 1
                 if chunk.size > CHUNK_CHARS:
                     yield from chunk.rows()
-                    chunk = Chunk()
+                    number += 1
+                    chunk = Chunk(number)
         yield from chunk.rows()
 
     slim = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"),
