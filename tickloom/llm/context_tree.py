@@ -280,7 +280,7 @@ def score_documents(docs: DataFrame, held_out: Column, depth: int = DEPTH, id_co
 
     slim = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"),
                        F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    slim.mapInPandas(deal, schema).write.partitionBy("kind").parquet(folder)
+    slim.mapInPandas(deal, schema).write.partitionBy("kind").option("compression", "zstd").parquet(folder)
     dealt = lambda kind, *columns: spark.read.schema(schema).parquet(folder).filter(F.col("kind") == kind).select(*columns)
     texts = dealt("doc", "chunk", "doc_id", "held_out", "text")
     words, grams_ = dealt("word", "chunk", "word", "n"), dealt("gram", "chunk", "gram", "n")
