@@ -64,9 +64,14 @@ def test_scans(chunked, skewed, position):
 
 def test_percentiles(skewed):
     points = {"p0": 0.0, "p50": 0.5, "p95": 0.95, "p100": 1.0}
-    one = sc.percentiles(skewed, ["series_id"], F.col("v"), points, small=True).where("p50 is not null")
-    many = sc.percentiles(skewed, ["series_id"], F.col("v"), points, small=False)
-    close(rows_of(one), rows_of(many))
+    # a NULL key and a key without values keep their rows in both plans
+    odd = skewed.unionByName(skewed.limit(9).withColumn("series_id", F.lit(None).cast("string"))).unionByName(
+        skewed.limit(3).withColumn("series_id", F.lit("empty")).withColumn("v", F.lit(None).cast("double")))
+    for by in (["series_id"], []):
+        one = sc.percentiles(odd, by, F.col("v"), points, small=True)
+        many = sc.percentiles(odd, by, F.col("v"), points, small=False)
+        close(rows_of(one.na.fill(-1.0).na.fill("null")), rows_of(many.na.fill(-1.0).na.fill("null")))
+    assert sc.percentiles(odd.where("false"), [], F.col("v"), points, small=False).count() == 1
 
 
 def test_group_stats_without_keys(skewed):

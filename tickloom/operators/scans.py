@@ -167,8 +167,9 @@ def scan(
         return df.select("*", *[_inside(s, by, cols).alias(n) for n, s in out.items()])
 
     if position is not None:
+        # written, as the rows are read twice: a replay below runs once however many scans stand on it
         size = chunk_ticks(df.sparkSession)
-        chunked = df.withColumn(CHUNK, F.floor(F.col(position) / F.lit(size)))
+        chunked = cut(df.withColumn(CHUNK, F.floor(F.col(position) / F.lit(size))))
     else:
         chunked = range_chunks(df, by, cols)
     return scan_chunks(chunked, by, cols, out).drop(CHUNK)
@@ -250,14 +251,16 @@ def percentiles(
 ) -> DataFrame:
     """Exact linear-interpolation percentiles per key (NULL values left out).
 
-    The built-in ``percentile`` keeps all distinct values of a group in one
+    Every key keeps its row, NULL keys too; a key without values has NULL percentiles. The built-in ``percentile`` keeps all distinct values of a group in one
     buffer; above the small size the order statistics are found by position.
     """
     by = list(by)
     if is_small(df) if small is None else small:
         return df.groupBy(*by).agg(*[F.percentile(value, F.lit(p)).alias(n) for n, p in points.items()])
 
-    known = df.select(*by, value.cast("double").alias("__v")).where(F.col("__v").isNotNull())
+    plain = df.select(*by, value.cast("double").alias("__v"))
+    groups = plain.select(*by).distinct() if by else plain.sparkSession.range(1).select()
+    known = plain.where(F.col("__v").isNotNull())
     ranked = number_rows(known.withColumn("__id", F.monotonically_increasing_id()),
                          by, ["__v", "__id"], "__rank", small=False)
     sizes = known.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"))
@@ -271,13 +274,18 @@ def percentiles(
     sides = wanted.select(
         *by, "__name", "__at",
         F.explode(F.array_distinct(F.array(F.floor("__at"), F.ceil("__at")))).alias("__rank"))
-    found = ranked.join(sides, by + ["__rank"])
+    sides = sides.select(*[F.col(k).alias(f"__s{i}") for i, k in enumerate(by)], "__name", "__at", F.col("__rank").alias("__side"))
+    match = F.col("__rank") == F.col("__side")
+    for i, k in enumerate(by):
+        match = match & F.col(k).eqNullSafe(F.col(f"__s{i}"))
+    found = ranked.join(sides, match)
     frac = F.col("__at") - F.floor("__at")
     weight = F.when(F.floor("__at") == F.ceil("__at"), F.lit(1.0)).otherwise(
         F.when(F.col("__rank") == F.floor("__at"), 1.0 - frac).otherwise(frac))
-    return found.groupBy(*by).agg(*[
+    exact = found.groupBy(*by).agg(*[
         F.sum(F.when(F.col("__name") == n, F.col("__v") * weight)).alias(n) for n in points
     ])
+    return _join_groups(groups, exact, by, list(points))
 
 
 def rank_share(

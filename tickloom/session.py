@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +14,7 @@ SMALL_INPUT_BYTES = 64 * 1024 * 1024
 CHUNK_TICKS = 1 << 20
 RANGE_BYTES = 128 * 1024 * 1024
 MAX_RANGES = 100_000
+UNKNOWN_BYTES = 1 << 60
 
 
 def local_session(cores: str = "8", app: str = "tickloom") -> SparkSession:
@@ -33,7 +35,11 @@ def local_session(cores: str = "8", app: str = "tickloom") -> SparkSession:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Reliable-checkpoint folder: the cluster's, or a fresh one where none is set."""
+    """Reliable-checkpoint folder: the one that the cluster names.
+
+    Only a single-machine session (a test, the benchmark) gets one of its own if none is set; on a cluster a
+    folder of one machine would be missed by the others, so there the setting is needed.
+    """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
@@ -41,8 +47,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         sc.setCheckpointDir(configured)
-    else:
+    elif re.match(r"local(\[|$)", sc.master):
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="tickloom-ckpt-"))
+    else:
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return sc.getCheckpointDir()
 
 
@@ -94,6 +102,14 @@ def reuse(df: DataFrame) -> DataFrame:
 
 
 def range_count(df: DataFrame) -> int:
-    """Row ranges for ``df``: about ``RANGE_BYTES`` each, at least the shuffle partitions."""
+    """Row ranges for ``df``: about ``RANGE_BYTES`` each, at least the shuffle partitions.
+
+    ``spark.tickloom.maxRanges`` bounds them (ranges grow beyond that many); rows of unknown size, such as
+    those that the driver made, take the shuffle partitions.
+    """
     base = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(base, min(MAX_RANGES, input_bytes(df) // RANGE_BYTES))
+    size = input_bytes(df)
+    if size >= UNKNOWN_BYTES:
+        return base
+    most = int(_setting(df.sparkSession, "spark.tickloom.maxRanges", str(MAX_RANGES)))
+    return max(base, min(most, size // RANGE_BYTES))
