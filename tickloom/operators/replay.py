@@ -3,15 +3,18 @@
 The recurrences are not associative: an outlier decision depends on all earlier
 ones, so one series is sequential. Parallelism comes from series and blocks of
 configurations. A series too long for one task is cut into pieces; the state at
-each cut is found by iterating in parallel until it stops changing:
+each cut is first sought in parallel:
 
 1. every piece runs from a fresh start and reports its end state;
 2. every piece whose assumed start differs from the end state of the piece before
-   runs again from that state, until no start changes.
-
-The first piece is right at once and each round makes at least one more right, so the
-result is exactly the sequential one. The states forget their past (drift resets,
-exponential averages), so in practice a couple of rounds suffice.
+   runs again from that state, ``ROUNDS`` times at most;
+3. a series whose pieces have not met by then is handed on from piece to piece in one
+   ordered pass, which holds one piece at a time, from its first unsettled piece on.
+
+The result is exactly the sequential one. Pieces meet where the states forget their past
+(drift resets, exponential averages); where they do not (a sampler's phase need never
+meet that of a fresh start), the pass runs over the series in one task. So a piece runs
+at most ``ROUNDS + 2`` times, in memory bounded by a piece, whatever the settings are.
 """
 
 from __future__ import annotations
@@ -31,6 +34,7 @@ from tickloom.operators.policies import POLICIES, piece_multiple, policy_config
 from tickloom.session import chunk_ticks, cut, is_small
 
 CONFIGS_PER_TASK = 8
+ROUNDS = 1
 _OUT = [
     T.StructField("config_id", T.IntegerType()),
     T.StructField("tick", T.LongType()),
@@ -88,19 +92,67 @@ def sequential(rows: DataFrame, by: Sequence[str], position: str, step: Step, sc
     empty = rows.sparkSession.createDataFrame([], T.StructType(
         [rows.schema[k] for k in keys] + [T.StructField("start", T.StringType())]))
     known = cut(grouped(rows).cogroup(grouped(empty)).applyInArrow(states, state_schema))
-    while True:
+    for done in range(ROUNDS + 1):
         # A piece is stale when it did not start from the end of the piece before
         # (the nearest earlier one; a key need not have rows in every piece).
         order = Window.partitionBy(*by).orderBy("__piece")
         stale = cut(
             known.withColumn("held", F.col("start")).withColumn("start", F.lag("end").over(order))
             .where(~F.col("start").eqNullSafe(F.col("held"))).select(*keys, "start"))
-        if stale.isEmpty():
+        if done == ROUNDS or stale.isEmpty():
             break
         again = rows.join(stale.select(*keys), keys, "left_semi")
         fresh = grouped(again).cogroup(grouped(stale)).applyInArrow(states, state_schema)
         known = cut(known.join(stale.select(*keys), keys, "left_anti").unionByName(fresh))
-    return grouped(rows).cogroup(grouped(known.select(*keys, "start"))).applyInArrow(emit, schema)
+    # Series whose pieces did not meet are handed on from piece to piece in one ordered pass, from the first
+    # stale piece on (its start is known: every piece before it is settled).
+    name = lambda frame: frame.select(*[F.col(k).alias(f"__f{i}") for i, k in enumerate(by)], *[
+        c for c in frame.columns if c.startswith("__from")])
+    first = name(stale.groupBy(*by).agg(F.min("__piece").alias("__from_piece"), F.min_by("start", "__piece").alias("__from_start")))
+    same = F.lit(True)
+    for i, k in enumerate(by):
+        same = same & F.col(k).eqNullSafe(F.col(f"__f{i}"))
+    marks = [f"__f{i}" for i in range(len(by))] + ["__from_piece", "__from_start"]
+    late = F.col("__from_piece").isNotNull() & (F.col("__piece") >= F.col("__from_piece"))
+    settled = rows.join(first, same, "left").where(~late).drop(*marks)
+    rest = rows.join(first, same).where(late).drop("__from_piece", *[f"__f{i}" for i in range(len(by))])
+    ordered = rest.repartition(*by).sortWithinPartitions(*by, "__piece", position)
+
+    def hand_on(batches):
+        series, state = None, None
+        for piece in pieces(batches, keys):
+            row = piece.slice(0, 1).to_pylist()[0]
+            here = [row[k] for k in by]
+            if here != series:
+                series, state = here, None if row["__from_start"] is None else json.loads(row["__from_start"])
+            result, state = step(here, piece.drop_columns(["__from_start"]), state)
+            yield from result.to_batches()
+
+    early = grouped(settled).cogroup(grouped(known.select(*keys, "start"))).applyInArrow(emit, schema)
+    if stale.isEmpty():
+        return early
+    return early.unionByName(ordered.mapInArrow(hand_on, schema))
+
+
+def pieces(batches, keys: list[str]):
+    """Tables of whole pieces from record batches sorted by ``keys``; at most one piece is held."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        marks = np.zeros(batch.num_rows, bool)
+        for k in keys:
+            column = batch.column(batch.schema.get_field_index(k)).to_numpy(zero_copy_only=False)
+            marks[1:] |= column[1:] != column[:-1]
+        cuts = [0, *np.flatnonzero(marks).tolist(), batch.num_rows]
+        ends = lambda b, i: [b.column(b.schema.get_field_index(k))[i].as_py() for k in keys]
+        for a, b in zip(cuts, cuts[1:]):
+            if held and (a or ends(held[-1], held[-1].num_rows - 1) != ends(batch, 0)):
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield pa.Table.from_batches(held)
 
 
 def _columns(key_names, key_values, config_id: int, table: pa.Table, out: K.Columns) -> pa.Table:
