@@ -1,39 +1,15 @@
-"""Load schedules: phases, observed phases and transition windows."""
+"""Load schedules: phases, observed phases and transition windows. Phase tables are an input."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.operators.reconstruct import asof_forward, interval_join
 from tickloom.operators.scans import next_known, previous, running_sum, scan
 
-# The named load shapes, one "name seconds users spawn-rate direction" per phase.
-SHAPES: dict[str, str] = {
-    "phased": """warmup 60 5 5 stable; ramp 120 50 1 up; sustained 60 50 5 stable; fast_ramp 60 150 3 up;
-        spike 30 200 5 up; cooldown 30 10 10 down; pulse 60 75 5 up; cooldown2 30 10 10 down; tail 60 10 5 stable""",
-    "oscillating": """warmup 60 10 10 stable; spike1 30 180 20 up; valley1 30 5 20 down; spike2 30 180 20 up;
-        valley2 30 5 20 down; spike3 30 180 20 up; valley3 30 5 20 down; spike4 30 180 20 up; valley4 30 5 20 down;
-        tail 60 5 5 stable""",
-    "staircase": """baseline 60 5 5 stable; step1 60 30 5 up; step2 60 60 5 up; step3 60 100 5 up; step4 60 150 5 up;
-        step5 60 200 5 up; sustained_peak 90 200 5 stable; hard_drop 60 5 30 down""",
-    "flash_crowd": """warmup 30 5 5 stable; flash1 120 200 50 up; drop1 60 5 50 down; rest 30 5 5 stable;
-        flash2 120 200 50 up; drop2 60 5 50 down; tail 30 5 5 stable""",
-}
-
-
-def schedule_frame(spark: SparkSession) -> DataFrame:
-    """``shape, seq, name, duration_s, users, spawn_rate, direction`` of the named shapes."""
-    rows = []
-    for shape, text in SHAPES.items():
-        for i, phase in enumerate(text.split(";")):
-            name, seconds, users, rate, direction = phase.split()
-            rows.append((shape, i, name, int(seconds), int(users), int(rate), direction))
-    return spark.createDataFrame(
-        rows, "shape string, seq int, name string, duration_s int, users int, spawn_rate int, direction string")
-
 
 def phase_bounds(phases: DataFrame, by: Sequence[str] = ("shape",), order: str = "seq") -> DataFrame:
     """Adds ``start_s`` and ``end_s`` from the running total of the durations."""
