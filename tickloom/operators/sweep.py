@@ -13,7 +13,7 @@ from tickloom.operators.masks import fixed_interval, n_of_m, shortest_period, th
 from tickloom.operators.replay import replay
 from tickloom.operators.scans import group_stats, percentiles, running_max, running_min, scan, with_size
 from tickloom.params import MAPPING_ABLATION, config_frame, config_label, make_config
-from tickloom.session import reuse
+from tickloom.session import cut, reuse
 
 # Parameters that change the dense tracker itself.
 TRACKER_PARAMS = ("alpha_base", "beta", "outlier_threshold", "drift_tolerance", "initial_variance_floor")
@@ -68,9 +68,13 @@ def phase_masks(trace: DataFrame, budgets: DataFrame, by: Sequence[str]) -> Data
 
 
 def budget_comparison(trace: DataFrame, config: dict, by: Sequence[str] = ("series_id",),
-                      tolerance: float = 0.001, max_period: int = 128) -> DataFrame:
-    """Per series: the adaptive ratio, the reciprocal fixed interval and the n-of-m budget."""
-    kept = replay(trace, [config], "urgency_adaptive", by)
+                      tolerance: float = 0.001, max_period: int = 128, kept: DataFrame | None = None) -> DataFrame:
+    """Per series: the adaptive ratio, the reciprocal fixed interval and the n-of-m budget.
+
+    ``kept``: the adaptive replay of the trace, where it is there already.
+    """
+    if kept is None:
+        kept = replay(trace, [config], "urgency_adaptive", by)
     ratio = kept.groupBy(*by).agg(F.avg(F.when(F.col("sampled"), 1.0).otherwise(0.0)).alias("sample_ratio"))
     return shortest_period(ratio.withColumn("fixed_interval", fixed_interval(F.col("sample_ratio"))),
                            "sample_ratio", tolerance, max_period)
@@ -82,12 +86,13 @@ def two_pass(trace: DataFrame, config: dict, by: Sequence[str] = ("series_id",),
     """Adaptive, fixed-interval, budget-matched and literature samplers in one table."""
     by = list(by)
     methods = by + ["method", "variant"]
-    masks = replay(trace, [config], "urgency_adaptive", by).withColumn("method", F.lit("adaptive"))
+    adaptive = cut(replay(trace, [config], "urgency_adaptive", by))  # read twice: as a mask, and for the budgets
+    masks = adaptive.withColumn("method", F.lit("adaptive"))
     for name in policies:
         masks = masks.unionByName(replay(trace, [config], name, by).withColumn("method", F.lit(name)))
     columns = [*by, "method", "tick", "value", "sampled"]
     rows = masks.select(*columns).withColumn("variant", F.lit(0))
-    budgets = reuse(budget_comparison(trace, config, by, tolerance))
+    budgets = reuse(budget_comparison(trace, config, by, tolerance, kept=adaptive))
     fixed = trace.join(budgets.select(*by, "fixed_interval"), by).withColumn("method", F.lit("fixed_interval")).withColumn(
         "sampled", F.pmod(F.col("tick"), F.col("fixed_interval")) == 0)
     rows = rows.unionByName(fixed.select(*columns).withColumn("variant", F.lit(0)))

@@ -235,7 +235,7 @@ def joi17(spark, d):
         r6(F.col("selected_memory_mean") - F.col("dense_memory_mean")).alias("paired_error"))
 
 
-MEANS = """m AS (SELECT run, request_type, avg(CASE WHEN delta > 0 THEN delta END) AS v FROM requests WHERE NOT (run = 3 AND request_type = 'view') GROUP BY 1, 2),
+MEANS = """m AS (SELECT run, request_type, avg(CASE WHEN delta > 0 THEN delta END) AS v FROM requests GROUP BY 1, 2),
 pairs AS (SELECT a.run AS left_run, b.run AS right_run FROM (SELECT DISTINCT run FROM m) a, (SELECT DISTINCT run FROM m) b WHERE a.run < b.run),
 prs AS (SELECT left_run, right_run, sqrt(avg(d * d)) / 1024.0 AS rmse_kb, bool_and(hit) AS same_types FROM (
   SELECT p.left_run, p.right_run, coalesce(x.v, 0) - coalesce(y.v, 0) AS d, x.run IS NOT NULL AND y.run IS NOT NULL AS hit
@@ -245,8 +245,7 @@ prs AS (SELECT left_run, right_run, sqrt(avg(d * d)) / 1024.0 AS rmse_kb, bool_a
 
 
 def positive_means(spark, d):
-    r = requests(spark, d).where(~((F.col("run") == 3) & (F.col("request_type") == "view")))
-    return r.groupBy("run", "request_type").agg(F.avg(F.when(F.col("delta") > 0, F.col("delta"))).alias("v"))
+    return requests(spark, d).groupBy("run", "request_type").agg(F.avg(F.when(F.col("delta") > 0, F.col("delta"))).alias("v"))
 
 
 def pair_table(spark, d):
