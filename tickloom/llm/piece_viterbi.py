@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from tickloom.llm.common import worker_store
 
 SPACE = "▁"
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 300_000
 LONG_WORD = 64  # longer words are not remembered
 BATCH_CHARS = 4_000_000
 
