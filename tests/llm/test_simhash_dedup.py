@@ -95,12 +95,12 @@ def test_documents_equal_brute_force(spark):
 
 
 def test_one_of_each_keeps_columns_and_whole_groups(spark):
-    rows = [(1, "a b c d e"), (2, "A b c d e"), (3, "other words stand here now"), (3, "other words stand here now"), (None, "a b c d e"), (None, "alone"), (4, None), (5, "")]
+    rows = [(1, "a b c d e"), (2, "A b c d e"), (3, "other words stand here now"), (3, "other words stand here now"), (None, "a b c d e"), (None, "alone"), (None, "apart from all"), (4, None), (5, "")]
     docs = spark.createDataFrame([(*r, "k") for r in rows], "doc_id long, text string, fp string")
     kept = sd.one_of_each(docs)
     assert kept.columns == docs.columns
     got = sorted([(r.doc_id, r.text) for r in kept.collect()], key=str)
-    assert got == sorted([(1, "a b c d e"), (3, "other words stand here now"), (None, "alone"), (4, None)], key=str)
+    assert got == sorted([(1, "a b c d e"), (3, "other words stand here now"), (None, "alone"), (None, "apart from all"), (4, None)], key=str)
     assert sd.one_of_each(docs.filter("false")).count() == 0
 
 

@@ -153,18 +153,20 @@ def near_links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 
 def fingerprint_components(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """(fp, component_id) of every distinct fingerprint of ``prints`` (doc_id, fp).
+    """(fp, root, component_id) of every distinct fingerprint of ``prints`` (doc_id, fp).
 
-    component_id is the smallest doc_id that links reach (null if all of them are null).
+    root is the smallest fingerprint of the component, component_id the smallest doc_id that links reach
+    (null if all of them are null).
     """
     distinct = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "fingerprints")
     roots = components(near_links(distinct.select("fp"), radius), "a", "b")
     linked = roots.join(distinct, roots["node"] == distinct["fp"]).select("fp", "root", "first_id")
     smallest = linked.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = linked.join(smallest, "root").select("fp", "component_id")
+    named = linked.join(smallest, "root").select("fp", "root", "component_id")
     # written, so that both sides of a join with documents are dealt anew and a fingerprint of many can be split
     return written(distinct.join(named, "fp", "left")
-                   .select("fp", F.coalesce("component_id", "first_id").alias("component_id")), "components")
+                   .select("fp", F.coalesce("root", "fp").alias("root"),
+                           F.coalesce("component_id", "first_id").alias("component_id")), "components")
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, words_each: int = SHINGLE_WORDS, seed: int = SEED,
@@ -184,16 +186,14 @@ def one_of_each(docs: DataFrame, radius: int = RADIUS, words_each: int = SHINGLE
     """``docs`` with one document of each component: the one with the smallest id. All columns stay.
 
     Rows that agree in id and fingerprint are one document, of which any copy stays. A row without id stays
-    only if its whole component has none.
+    only if its whole component has none and its fingerprint is the component's smallest.
     """
     fp, lost = free_name(docs, "fp"), free_name(docs, "lost")
     marked = docs.withColumn(fp, fingerprint(F.col(text_col), words_each, seed))
     prints = written(marked.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(fp).alias("fp")), "prints")
     named = prints.join(fingerprint_components(prints, radius), "fp")
-    # of a component without any id, one fingerprint stays
-    first = named.filter("component_id is null").groupBy().agg(F.min("fp")).first()[0]
-    losers = (named.filter(~F.col("doc_id").eqNullSafe(F.col("component_id")) | (F.col("component_id").isNull() & (F.col("fp") != F.lit(first).cast("bigint"))))
-              .select("doc_id", F.col("fp").alias(lost)).distinct())
+    stays = F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("component_id").isNotNull() | (F.col("fp") == F.col("root")))
+    losers = named.filter(~stays).select("doc_id", F.col("fp").alias(lost)).distinct()
     same = marked[id_col].cast("bigint").eqNullSafe(losers["doc_id"]) & (marked[fp] == losers[lost])
     kept = marked.join(losers, same, "left_anti")
     return kept.dropDuplicates([id_col, fp]).drop(fp)
