@@ -109,18 +109,20 @@ def envelope_sweep(trace: DataFrame, config: dict, min_intervals: Sequence[int],
     blocks = [{**c, "envelope_min": c["min_interval"], "envelope_max": max_interval} for c in bounded]
     parts = [("urgency_adaptive", "urgency_adaptive", bounded), ("wavelet_rate", "wavelet_rate", blocks),
              ("robust_exponential", "robust_exponential", bounded)]
-    slow = [{**c, "min_interval": max_interval} for c in bounded]
-    fast = [{**c, "max_interval": c["min_interval"]} for c in bounded]
-    parts += [("fixed_slow_boundary", "urgency_adaptive", slow), ("fixed_fast_boundary", "urgency_adaptive", fast)]
     out = None
     lows = F.array(*[F.lit(i) for i in min_intervals])
     for method, policy, configs in parts:
         played = replay(trace, configs, policy, by).withColumn("method", F.lit(method))
-        if method == "fixed_fast_boundary":  # equal bounds give one end point only
-            played = played.where(F.element_at(lows, F.col("config_id") + 1) != max_interval)
         out = played if out is None else out.unionByName(played)
     out = out.withColumn("min_interval", F.element_at(lows, F.col("config_id") + 1))
     rows = out.select(*by, "method", "min_interval", "tick", "value", "sampled")
+    # equal bounds are a fixed interval, which needs no replay
+    ends = trace.select(*by, "tick", "value", F.explode(lows).alias("min_interval"))
+    for method, interval in (("fixed_slow_boundary", F.lit(max_interval)), ("fixed_fast_boundary", F.col("min_interval"))):
+        fixed = ends.withColumn("method", F.lit(method)).withColumn("sampled", F.pmod(F.col("tick"), interval) == 0)
+        if method == "fixed_fast_boundary":  # where both ends are the same, one of them is enough
+            fixed = fixed.where(F.col("min_interval") != max_interval)
+        rows = rows.unionByName(fixed.select(*rows.columns))
     return mask_report(rows, [*by, "method", "min_interval"])
 
 
