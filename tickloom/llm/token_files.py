@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import json
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -48,6 +49,8 @@ class WordEncoder:
             and not pre.get("add_prefix_space", True) and pre.get("use_regex", True) and not kind.get("normalizer")
             and not kind["model"].get("dropout") and not kind["model"].get("ignore_merges"))
         self.dtype = np.dtype("<u2" if self.whole.get_vocab_size() <= 1 << 16 else "<u4")
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
+        self.tokenize = self.whole.model.tokenize
         self.special = [t["content"] for t in kind.get("added_tokens", [])]
         self.pieces = regex.compile(PATTERN).findall
         # visible characters below U+0530, and line feeds inside the word
@@ -63,12 +66,17 @@ class WordEncoder:
         ids = self.known.get(piece)
         if ids is None:
             mapped = piece.encode("utf-8").decode("latin-1").translate(self.letters)
-            ids = np.array([t.id for t in self.whole.model.tokenize(mapped)], self.dtype).tobytes()
+            ids = array(self.code, [t.id for t in self.tokenize(mapped)]).tobytes()
             self.known[piece] = ids
         return ids
 
     def _learn(self, cache: dict, word: str, lead: str) -> bytes | None:
-        if not self.plain(word) or any(s in word for s in self.special):
+        stem = word.rstrip(".,")
+        if stem.isalpha() and (stem.isascii() or max(stem) < "\u0530"):  # letters are one piece, the marks after them another
+            ids = self._piece(lead + stem)
+            if len(stem) < len(word):
+                ids += self._piece(word[len(stem):])
+        elif not self.plain(word) or any(s in word for s in self.special):
             ids = None
         else:
             ids = b"".join([self._piece(p) for p in self.pieces(lead + word)])
