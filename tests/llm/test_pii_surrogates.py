@@ -127,3 +127,20 @@ def test_luhn(spark):
     numbers = ["4111111111111111", "4111111111111112", "0", "79927398713"]
     df = spark.createDataFrame([(n,) for n in numbers], "n string").select(ps.luhn_sum(F.col("n")) % 10 == 0)
     assert [r[0] for r in df.collect()] == [luhn(n) for n in numbers]
+
+
+NEIGHBOURS = [  # text, what must go, what must stay
+    ("pay 4111 1111 1111 1111 12/27 now", "4111 1111 1111 1111", " 12/27 now"), ("4111 1111 1111 1111 123", "4111 1111 1111 1111", " 123"),
+    ("1234 4111 1111 1111 1111 9", "4111 1111 1111 1111", "1234 "), ("4111-1111-1111-1111-123", "4111-1111-1111-1111", "-123"),
+    ("2024-4111-1111-1111-1111", "4111-1111-1111-1111", "2024-"), ("7 4111111111111111 2024", "4111111111111111", " 2024"),
+    ("3782 822463 10005 12 27", "3782 822463 10005", " 12 27"), ("123-45-6789 2024", "123-45-6789", " 2024"),
+    ("123-45-6789 4111 1111 1111 1111", "123-45-6789", ""), ("123-45-6789 4111 1111 1111 1111", "4111 1111 1111 1111", ""),
+    ("555-123-4567 2024", "555-123-4567", " 2024"), ("4111 1111 1111 1111 555-123-4567", "555-123-4567", ""),
+    ("4111 1111 1111 1111 5500 0000 0000 0004", "5500 0000 0000 0004", ""), ("41111111 11111111", "41111111 11111111", ""),
+]
+
+
+def test_digits_next_to_an_entity_do_not_hide_it(spark):
+    got = replaced(spark, [t for t, _, _ in NEIGHBOURS])
+    for i, (text, gone, stays) in enumerate(NEIGHBOURS):
+        assert gone not in got[i].text and stays in got[i].text and shape(got[i].text) == shape(text), (text, got[i].text)

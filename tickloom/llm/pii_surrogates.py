@@ -18,7 +18,16 @@ KEY = "tickloom-demo-key"  # a deployment passes its own secret
 # Patterns of the entity types, in order of precedence.
 EMAIL = r"(?<![\w.%+-])[\w.%+-]{1,64}+@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,8}\.[A-Za-z]{2,24}(?![A-Za-z0-9])"
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
-CARD = r"(?<![\w.-])[0-9](?:[ -]?[0-9]){12,18}(?![\w-])"
+CARD = r"[0-9](?:[ -]?[0-9]){12,18}"
+# Where a card may stand: other digits may be next to it, parted by a space or dash. Every start is tried, as a
+# number that fails its check may hold the beginning of a card: usual groups, 17 to 19 digits in groups, whole runs.
+BEFORE, AFTER = r"(?:(?<![\w.-])|(?<=[0-9]-))", r"(?:(?![\w-])|(?=-[0-9]))"
+CARD_FORMS = [
+    r"[0-9]{4}[ -][0-9]{4}[ -][0-9]{4}[ -][0-9]{4}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{4,5}|[0-9]{4}(?:[ -][0-9]{3}){3}|[0-9]{13,19}",
+    r"[0-9]{4}(?:[ -][0-9]{4}){3}[ -][0-9]{1,3}",
+    rf"(?<![0-9] ){CARD}(?! [0-9])",
+]
+CARD_HINT = "[0-9](?:[ -]?[0-9]){12}"
 PHONE = (r"(?<![\w+])(?:\+[0-9]{1,3}[ .-]?)?\([0-9]{2,4}\)[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}(?![0-9])"
          r"|(?<![\w+])\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,5}(?![0-9])|(?<![\w.-])[0-9]{3}-[0-9]{3}-[0-9]{4}(?![\w-])")
 SSN = r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])"
@@ -41,7 +50,8 @@ GIVEN = {
 ALL_TITLES = [t for by in TITLES.values() for names in by.values() for t in names]
 NAME = rf"(?<!\p{{L}})(?:{'|'.join(ALL_TITLES)})\.? \p{{Lu}}\p{{Ll}}{{1,40}}(?: \p{{Lu}}\p{{Ll}}{{1,40}}){{0,2}}(?!\p{{L}})"
 # (?U) lets \w and classes follow Unicode.
-PATTERN = "(?U)" + "|".join([EMAIL, IBAN, CARD, SSN, PHONE, IP, NAME])
+FIRST, LAST = "(?U)" + "|".join([EMAIL, IBAN, SSN, PHONE]), "|".join([IP, NAME])
+PATTERN = f"{FIRST}|{LAST}"  # of texts without a card
 # Every entity holds an @, two digits in a row, a digit and a dot, or a title; other texts are not searched.
 HINT = "@|[0-9][0-9 .)-]|" + "|".join(ALL_TITLES)
 TYPES = [("email", EMAIL), ("iban", IBAN), ("ssn", SSN), ("ip", IP), ("card", CARD), ("phone", PHONE), ("name", NAME)]
@@ -66,6 +76,18 @@ def luhn_sum(digits: Column) -> Column:
     return F.aggregate(each, F.lit(0), lambda a, x: a + x)
 
 
+def _cards(text: Column) -> Column:
+    """The valid card numbers of a text as alternatives of a pattern; null if there is none."""
+    found = F.concat(*[F.regexp_extract_all(text, F.lit(f"(?U){BEFORE}(?=({form}){AFTER})"), F.lit(1)) for form in CARD_FORMS])
+    valid = F.filter(F.array_distinct(found), lambda c: luhn_sum(_digits(c)) % 10 == 0)
+    return F.when(text.rlike(CARD_HINT), F.nullif(F.array_join(valid, "|"), F.lit("")))
+
+
+def _pattern(cards: Column) -> Column:
+    return F.when(cards.isNull(), F.lit(PATTERN)).otherwise(
+        F.concat(F.lit(f"{FIRST}|{BEFORE}(?:"), cards, F.lit(f"){AFTER}|{LAST}")))
+
+
 def _core(kind: Column, surface: Column) -> Column:
     """What two mentions of one entity have in common."""
     return (F.when(kind.isin("card", "phone", "ssn"), _digits(surface))
@@ -180,12 +202,13 @@ def replace_entities(docs: DataFrame, key: str = KEY, text_col: str = "text", co
     """``docs`` with the entities of its texts replaced; every row and column stays.
 
     Null and empty texts stay as they are, and so does every text without an entity. Numbers in card format
-    are entities only if their Luhn sum is valid. ``count_col``: a column for the number of replaced mentions.
+    are entities only if their Luhn sum is valid; digits next to them do not hide them. ``count_col``: a column for the number of replaced mentions.
     """
     text = F.col(text_col)
     found, digest, table = free_name(docs, "found"), free_name(docs, "digest"), free_name(docs, "replacements")
-    mentions = F.when(text.rlike(HINT), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)))
-    marked = docs.withColumn(found, mentions).withColumn(found, F.when(F.size(found) > 0, F.col(found)))
+    cards = free_name(docs, "cards")
+    mentions = F.when(text.rlike(HINT), F.regexp_extract_all(text, _pattern(F.col(cards)), F.lit(0)))
+    marked = docs.withColumn(cards, _cards(text)).withColumn(found, mentions).withColumn(found, F.when(F.size(found) > 0, F.col(found)))
     # texts without an entity have no partner in the join; a short hash of their own keeps them apart
     marked = marked.withColumn(digest, F.when(F.col(found).isNotNull(), F.sha2(text, 256)).otherwise(F.hex(F.xxhash64(text))))
     each = (marked.filter(F.col(found).isNotNull())
@@ -204,7 +227,7 @@ def replace_entities(docs: DataFrame, key: str = KEY, text_col: str = "text", co
               .withColumnRenamed("digest", digest))
     tables = written(tables, "tables")
     put = lambda m: F.coalesce(F.element_at(F.col(table), m), m)
-    gaps = F.split(text, PATTERN, -1)
+    gaps = F.split(text, _pattern(F.col(cards)), -1)
     joined = F.array_join(F.flatten(F.zip_with(gaps, F.transform(F.col(found), put), lambda g, r: F.array(g, F.coalesce(r, F.lit(""))))), "")
     out = marked.join(tables, digest, "left")
     if count_col:
