@@ -5,7 +5,7 @@ from __future__ import annotations
 import sys
 import types
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -69,6 +69,18 @@ def worker_store() -> dict:
     return sys.modules.setdefault("tickloom_worker_store", types.ModuleType("tickloom_worker_store")).__dict__
 
 
+def worker_object(key: tuple, make: Callable[[], object]) -> object:
+    """What one operator keeps in a Python worker between tasks: made once, and dropped when another asks for its own.
+
+    A worker serves the operators of a session one after another; it holds the tables and caches of one of them.
+    """
+    store = worker_store()
+    if store.get("kept_key") != key:
+        store.pop("kept", None)
+        store["kept_key"], store["kept"] = key, make()
+    return store["kept"]
+
+
 def whole_groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
     """Frames of whole groups, from batches sorted by ``keys``."""
     held: list[pd.DataFrame] = []

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.llm import (block_topk, context_tree, decontamination, language_id, pii_surrogates, piece_viterbi,
-                          secret_ledger, simhash_dedup, token_files, warc_zip)
+                          secret_ledger, simhash_dedup, token_counts, token_files, warc_zip)
 from tickloom.llm.common import crc_class
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -126,3 +126,8 @@ def op9_context_tree(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op10_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     return piece_viterbi.encode_documents(table(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query
+def op11_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
