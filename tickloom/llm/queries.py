@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.llm import (block_topk, context_tree, decontamination, language_id, pii_surrogates, piece_viterbi,
-                          secret_ledger, simhash_dedup, token_counts, token_files, warc_zip)
+                          secret_ledger, simhash_dedup, token_counts, token_files, warc_zip,
+                          whitening)
 from tickloom.llm.common import crc_class
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -131,3 +132,8 @@ def op10_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op11_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.token_counts(table(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query
+def op12_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whiten(table(spark, folder, "embeddings"))
