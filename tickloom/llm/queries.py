@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.llm import (block_topk, context_tree, decontamination, language_id, pii_surrogates, piece_viterbi,
-                          secret_ledger, simhash_dedup, token_counts, token_files, warc_zip,
+                          ranked_search, secret_ledger, simhash_dedup, token_counts, token_files, warc_zip,
                           whitening)
 from tickloom.llm.common import crc_class
 
@@ -137,3 +137,25 @@ def op11_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op12_whitening(spark: SparkSession, folder: str) -> DataFrame:
     return whitening.whiten(table(spark, folder, "embeddings"))
+
+
+@query
+def op13_ranked_search(spark: SparkSession, folder: str) -> DataFrame:
+    return ranked_search.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+def _terms_sql(table: str, key: str) -> str:
+    return (f"SELECT {key}, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+            rf"'[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t FROM {table} WHERE text IS NOT NULL")
+
+
+SQL["op13_ranked_search"] = f"""
+WITH d AS ({_terms_sql("documents", "doc_id")}), i AS ({_terms_sql("benchmark", "item_id")}),
+a AS (SELECT CAST(count(*) AS BIGINT) AS docs, CAST(sum(len(t)) AS BIGINT) AS terms FROM d WHERE len(t) > 0),
+p AS (SELECT doc_id, n, term, count(*) AS tf FROM (SELECT doc_id, CAST(len(t) AS BIGINT) AS n, unnest(t) AS term FROM d) GROUP BY ALL),
+w AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * docs + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS w FROM p, a GROUP BY term, docs),
+q AS (SELECT item_id, term, count(*) AS q FROM (SELECT item_id, unnest(t) AS term FROM i) GROUP BY ALL),
+s AS (SELECT item_id, doc_id, CAST(sum(q * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // terms)))) AS BIGINT) AS score
+  FROM q JOIN w USING (term) JOIN p USING (term), a GROUP BY item_id, doc_id),
+r AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM s WHERE score > 0)
+SELECT * FROM r WHERE rank <= 20"""
