@@ -128,3 +128,12 @@ def test_query_has_every_document_and_beats_chance(spark):
                             F.sum(F.when(F.col("held_out"), -F.col("score") / math.log10(2))) / F.sum(F.when(F.col("held_out"), F.col("n_bytes")))).first()
     assert n == docs.count() and held == docs.filter(crc_class(F.col("doc_id"), 5) == 1).count()
     assert bits < 3.5  # bits a byte of unseen text
+
+
+def test_large_ids_beside_nulls_and_repeated_rows(spark):
+    big = 2 ** 53
+    rows = [(big + 1, "a b"), (None, "c"), (None, "c"), (big + 3, "d"), (big + 3, "d")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = ct.score_documents(docs, F.col("text") == "d", depth=2).collect()
+    assert sorted((r.doc_id for r in got), key=str) == sorted((i for i, _ in rows), key=str)
+    assert {r.doc_id for r in got if r.held_out} == {big + 3}

@@ -96,3 +96,11 @@ def test_query_equals_brute_force(spark):
     docs = [(r[0], r[1]) for r in read("documents")]
     got = sorted([tuple(r) for r in QUERIES["op4_decontamination"](spark, folder).collect()], key=str)
     assert got == brute(docs, read("benchmark"))
+
+
+def test_large_ids_beside_nulls(spark):
+    big = 2 ** 53
+    text = "one two three four five six seven eight nine ten"
+    docs = spark.createDataFrame([(big + 1, text), (None, text), (big + 3, "other")], "doc_id long, text string").coalesce(1)
+    items = spark.createDataFrame([(big + 5, text), (7, "not in there at all, no")], "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in dc.contaminated(docs, items).collect()} == {(big + 1, big + 5), (None, big + 5)}

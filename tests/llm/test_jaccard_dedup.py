@@ -74,3 +74,10 @@ def test_rows_without_id_and_repeated_rows(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = sorted([tuple(r) for r in jd.one_of_each(docs).collect()], key=str)
     assert got == sorted([(1, "a b c d e"), (3, "other words stand here now"), (None, "alone"), (4, None)], key=str)
+
+
+def test_fingerprints_of_distinct_shingles():
+    text = "a b c d e f g h " * 40
+    shingles = jd.shingles_of(text).tolist()
+    want = sum(1 << b for b in range(64) if 2 * sum(s >> b & 1 for s in shingles) > len(shingles))
+    assert jd.print_of(jd.shingles_of(text)) & (1 << 64) - 1 == want and jd.print_of(jd.shingles_of("")) == 0

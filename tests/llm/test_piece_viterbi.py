@@ -103,3 +103,18 @@ def test_query_round_trips(spark):
 
     got = QUERIES["op10_sentencepiece"](spark, "/root/testdata/sf0.001")
     assert got.count() == 200 and got.filter("not round_trip").count() == 0
+
+
+def test_large_ids_beside_nulls(spark):
+    big = 2 ** 53
+    docs = spark.createDataFrame([(big + 1, "a"), (None, "b"), (big + 3, "c")], "doc_id long, text string").coalesce(1)
+    assert {r.doc_id for r in pv.encode_documents(docs, FILE).collect()} == {big + 1, None, big + 3}
+
+
+def test_two_generations_of_words(monkeypatch):
+    monkeypatch.setattr(pv, "CACHE_BYTES", 2000)
+    small, large = (pv.PieceModel(open(FILE, "rb").read()) for _ in range(2))
+    large.room = 1 << 20
+    for text in ["one two three four five six seven", "  two  one", "one", " one \u2581", "x\u2581one two"] * 3:
+        assert small.encode(text).tolist() == large.encode(text).tolist()
+        assert len(small.words) + len(small.older) < 12

@@ -68,3 +68,10 @@ def test_query_equals_brute_force(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{folder}/documents.parquet").collect()]
     got = QUERIES["op2_token_files"](spark, folder).orderBy(F.col("doc_id")).collect()
     assert [tuple(r) for r in got] == expected(rows, library)
+
+
+def test_large_ids_beside_nulls(spark):
+    big = 2 ** 53
+    docs = spark.createDataFrame([(big + 1, "a"), (None, "b"), (big + 3, "c"), (3, "d")], "doc_id long, text string").coalesce(1)
+    got = tf.read_token_files(tf.write_token_files(docs, FILE, 2)).orderBy("start").collect()
+    assert [r.doc_id for r in got] == [None, 3, big + 1, big + 3]

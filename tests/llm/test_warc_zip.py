@@ -94,3 +94,11 @@ def test_compressed_members_are_refused(spark, tmp_path):
         wz.record_ranges(spark.createDataFrame([(f"file:{tmp_path}/q.wacz",)], "path string")).collect()
     with pytest.raises(ValueError):
         wz.zip_members(pa.BufferReader(b"no package at all"), 17)
+
+
+def test_large_ids_beside_nulls(spark):
+    big = 2 ** 53
+    rows = [(big + 1, "same"), (big + 3, "same"), (big + 5, "other"), (None, "same")]
+    pages = spark.createDataFrame([(i, "u", h) for i, h in rows], "page_id long, url string, html string").coalesce(1)
+    got = {r.page_id: r.refers_to for r in wz.read_packages(wz.write_packages(pages)).collect()}
+    assert got == {big + 1: None, big + 3: big + 1, big + 5: None, None: big + 1}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import sys
 import types
 import uuid
@@ -9,6 +10,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,6 +47,11 @@ def crc_class(key: Column, classes: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")), F.lit(classes).cast("bigint"))
 
 
+def id_text(column: Column) -> Column:
+    """A 64-bit id as text, for frames of Python workers: beside nulls a whole number there would become a float."""
+    return column.cast("bigint").cast("string")
+
+
 def open_uri(uri: str) -> tuple[pafs.FileSystem, str]:
     """The file system and path of a URI as Hadoop writes it (``file:/x`` included)."""
     if uri.startswith("file:/") and not uri.startswith("file://"):
@@ -56,8 +63,6 @@ def open_uri(uri: str) -> tuple[pafs.FileSystem, str]:
 
 def open_random(uri: str):
     """A file for reads at any offset: memory-mapped where the file system allows it."""
-    import pyarrow as pa
-
     fs, path = open_uri(uri)
     if isinstance(fs, pafs.LocalFileSystem):
         return pa.memory_map(path, "r") if fs.get_file_info(path).size else fs.open_input_file(path)
@@ -77,6 +82,8 @@ def worker_object(key: tuple, make: Callable[[], object]) -> object:
     store = worker_store()
     if store.get("kept_key") != key:
         store.pop("kept", None)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
         store["kept_key"], store["kept"] = key, make()
     return store["kept"]
 

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import fresh_folder, shuffle_partitions, whole_groups, worker_store, written
+from tickloom.llm.common import fresh_folder, id_text, shuffle_partitions, whole_groups, worker_store, written
 
 DEPTH = 3
 END = 0xFF
@@ -218,7 +218,7 @@ def score_documents(docs: DataFrame, held_out: Column, depth: int = DEPTH, id_co
         raise ValueError("depth must be 2 to 6")
     spark = docs.sparkSession
     folder = fresh_folder(spark, "lm")
-    schema = ("kind string, chunk long, word binary, gram long, n long, doc_id long, held_out boolean, text string")
+    schema = ("kind string, chunk long, word binary, gram long, n long, doc_id string, held_out boolean, text string")
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
@@ -250,7 +250,7 @@ def score_documents(docs: DataFrame, held_out: Column, depth: int = DEPTH, id_co
 
             def named(self, kind: str, rows: int, **values) -> pd.DataFrame:
                 own = {"kind": np.full(rows, kind, object), "chunk": np.full(rows, self.name, np.int64)}
-                return pd.DataFrame(own | values).reindex(columns=columns).astype({"word": object, "text": object})
+                return pd.DataFrame(own | values).reindex(columns=columns).astype({"word": object, "doc_id": object, "text": object})
 
             def rows(self):
                 self.settle()
@@ -278,7 +278,7 @@ def score_documents(docs: DataFrame, held_out: Column, depth: int = DEPTH, id_co
                     chunk = Chunk(number)
         yield from chunk.rows()
 
-    slim = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"),
+    slim = docs.select(id_text(F.col(id_col)).alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"),
                        F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     slim.mapInPandas(deal, schema).write.partitionBy("kind").option("compression", "zstd").parquet(folder)
     dealt = lambda kind, *columns: spark.read.schema(schema).parquet(folder).filter(F.col("kind") == kind).select(*columns)
@@ -314,5 +314,5 @@ def score_documents(docs: DataFrame, held_out: Column, depth: int = DEPTH, id_co
         return pd.concat([texts[["doc_id", "held_out"]].reset_index(drop=True), a], axis=1)
 
     return texts.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInPandas(
-        score, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, n_bytes long"
-    ).withColumn("train_tokens", F.lit(total).cast("bigint"))
+        score, "doc_id string, held_out boolean, n_tokens long, n_known long, base_score double, score double, n_bytes long"
+    ).withColumn("doc_id", F.col("doc_id").cast("bigint")).withColumn("train_tokens", F.lit(total).cast("bigint"))

@@ -22,6 +22,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tickloom.llm.common import id_text
+
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
 RADIUS = 20
@@ -195,9 +197,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         return search
 
     out = None
-    slim = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
+    slim = docs.select(id_text(F.col(id_col)).alias("doc_id"), F.col(text_col).alias("text"))
     for rows in slices(benchmark, item_col, item_text_col, slice_bytes):
-        part = slim.mapInPandas(searcher(rows), "doc_id long, item_id long, start_word long, n_words long, similarity double")
+        part = slim.mapInPandas(searcher(rows), "doc_id string, item_id long, start_word long, n_words long, similarity double")
+        part = part.withColumn("doc_id", F.col("doc_id").cast("bigint"))
         out = part if out is None else out.unionByName(part)
     return out
 

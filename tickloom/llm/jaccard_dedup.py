@@ -1,9 +1,11 @@
-"""Near duplicates by the exact Jaccard similarity of word shingles.
-
-No fixed radius of SimHash fingerprints covers a similarity of 0.8 (measured: up to 17 bits), and buckets of
-the few equal bits that a wide radius leaves would hold most of a large corpus. Candidates therefore come from
-bands of MinHash values: two texts of similarity s share no band of 4 with probability (1 - s^4)^40, below
-10^-9 at 0.8. All candidate pairs that are not linked already are then checked on their whole shingle sets.
+"""Near duplicates of texts: SimHash and pigeonring first, then MinHash bands, all verified by exact Jaccard.
+
+Fingerprints of the five-word shingles are linked by the pigeonring filter within its three bits, which joins
+close copies at little cost. No fixed radius of fingerprints covers a similarity of 0.8 (measured: up to 17 of 64
+bits), and buckets of the few equal bits that a wide radius leaves would hold most of a large corpus. The other
+candidates therefore come from bands of MinHash values: two texts of similarity s share no band of 4 with
+probability (1 - s^4)^40, below 10^-9 at 0.8. Candidates not linked already are checked on their whole shingle
+sets; a fingerprint alone links nothing.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ from pyspark.sql import functions as F
 
 from tickloom.llm.common import free_name, shuffle_partitions, whole_groups, written
 from tickloom.llm.components import components
+from tickloom.llm.simhash_dedup import near_links
 
 SEED = 42
 SHINGLE_WORDS = 5
@@ -42,6 +45,15 @@ def shingles_of(text: str | None, words_each: int = SHINGLE_WORDS, seed: int = S
     return np.unique(np.fromiter((digest(line[x:y], seed) for x, y in zip(begins, ends)), np.uint64, last))
 
 
+def print_of(shingles: np.ndarray) -> int:
+    """The SimHash of distinct shingles: a bit is set if it is in over half of them; signed."""
+    total = np.zeros(64, np.int64)
+    for at in range(0, len(shingles), SHINGLES_AT_ONCE):
+        part = shingles[at:at + SHINGLES_AT_ONCE].astype("<u8")
+        total += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(2 * total > len(shingles), bitorder="little").view("<i8")[0])
+
+
 def bands_of(shingles: np.ndarray) -> list[int]:
     """One number a band: the hash of its MinHash values and its place."""
     import xxhash
@@ -80,18 +92,13 @@ def _linked(sets: list[np.ndarray], labels: np.ndarray, crossing: np.ndarray | N
     """A forest of the similar pairs (of different sides only, if given) that ``labels`` do not connect yet."""
     p, q = least
     sizes = np.array([len(s) for s in sets])
-    held = [None] * len(sets)
     labels, found = labels.copy(), []
     for i in range(1, len(sets)):
         near = (labels[:i] != labels[i]) & (q * np.minimum(sizes[:i], sizes[i]) >= p * np.maximum(sizes[:i], sizes[i]))
         if crossing is not None:
             near &= crossing[:i] != crossing[i]
         for j in np.flatnonzero(near).tolist():
-            if labels[i] == labels[j]:
-                continue
-            for k in (i, j):
-                held[k] = held[k] if held[k] is not None else frozenset(sets[k].tolist())
-            if (p + q) * len(held[i] & held[j]) >= p * (sizes[i] + sizes[j]):
+            if labels[i] != labels[j] and (p + q) * len(np.intersect1d(sets[i], sets[j], assume_unique=True)) >= p * (sizes[i] + sizes[j]):
                 found.append((i, j))
                 labels[labels == labels[i]] = labels[j]
     return found
@@ -122,29 +129,77 @@ def _open_links(members: DataFrame, sets: DataFrame, least: tuple[int, int]) ->
     return ready.mapInPandas(compare, "a long, b long")
 
 
+def _checked(pairs: DataFrame, sets: DataFrame, least: tuple[int, int]) -> DataFrame:
+    """The ``pairs`` (low, node) whose sets have the similarity ``least``, as links (a, b).
+
+    The set of every node travels once a pair, that of ``low`` once for every BLOCK_ROWS of its pairs or so; a task
+    reads them one after another and holds two at a time.
+    """
+    spark = pairs.sparkSession
+    parts = F.ceil(F.col("n") / BLOCK_ROWS).cast("int")
+    many = pairs.groupBy("low").agg(F.count("*").alias("n"))
+    dealt = written(pairs.join(many, "low").select("low", "node", F.pmod(F.xxhash64("node", "low"), parts).cast("int").alias("part")), "pairs")
+    heads = dealt.select("low", "part").distinct().select("low", "part", F.col("low").alias("node"), F.lit(0).alias("kind"))
+    ready = (heads.unionByName(dealt.withColumn("kind", F.lit(1))).join(sets, "node")
+             .repartition(shuffle_partitions(spark), "low", "part").sortWithinPartitions("low", "part", "kind"))
+    p, q = least
+
+    def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        head = np.zeros(0, np.int64)
+        for rows in batches:
+            a, b = [], []
+            for low, node, kind, shingles in zip(rows["low"], rows["node"], rows["kind"], rows["shingles"]):
+                if kind == 0:
+                    head = np.asarray(shingles)
+                    continue
+                x, y = len(head), len(shingles)
+                if q * min(x, y) >= p * max(x, y) and (p + q) * len(np.intersect1d(head, shingles, assume_unique=True)) >= p * (x + y):
+                    a.append(low)
+                    b.append(node)
+            yield pd.DataFrame({"a": a, "b": b}, dtype="int64")
+
+    return ready.mapInPandas(check, "a long, b long")
+
+
 def similar_components(docs: DataFrame, node: str, text_col: str, words_each: int = SHINGLE_WORDS,
                        least: tuple[int, int] = LEAST, seed: int = SEED) -> DataFrame:
     """(node, root) of every node of ``docs`` that is linked to another one by similarity ``least`` or more."""
-    sketch = _numbers(F.col(text_col), lambda t: bands_of(shingles_of(t, words_each, seed)))
-    banded = written(docs.select(F.col(node).alias("node"), sketch.alias("bands")).groupBy("node").agg(F.first("bands").alias("bands"))
-                     .select("node", F.explode("bands").alias("band")), "bands")
+    def sketch_of(text: str | None) -> list[int]:
+        shingles = shingles_of(text, words_each, seed)
+        return [print_of(shingles), *bands_of(shingles)]
+
+    sketches = written(docs.select(F.col(node).alias("node"), _numbers(F.col(text_col), sketch_of).alias("sketch"))
+                       .groupBy("node").agg(F.first("sketch").alias("sketch"))
+                       .select("node", F.col("sketch")[0].alias("fp"), F.slice("sketch", 2, BANDS).alias("bands")), "sketches")
+    # candidates of the fingerprints: equal ones with the smallest node, and the pigeonring's links of different ones
+    prints = written(sketches.filter(F.size("bands") > 0).groupBy("fp").agg(F.min("node").alias("low"), F.count("*").alias("n")), "prints")
+    near = near_links(prints.select("fp"))
+    name = lambda side: prints.select(F.col("fp").alias(side), F.col("low").alias(f"{side}_node"))
+    close = (near.join(name("a"), "a").join(name("b"), "b")
+             .select(F.least("a_node", "b_node").alias("low"), F.greatest("a_node", "b_node").alias("node")))
+    same = sketches.join(prints.filter("n > 1"), "fp").filter("node <> low").select("low", "node")
+    by_print = written(close.unionByName(same).filter("low <> node").distinct(), "near")
+    # candidates of the bands
+    banded = sketches.select("node", F.explode("bands").alias("band"))
     shared = written(banded.groupBy("band").agg(F.count("*").alias("n"), F.min("node").alias("low")).filter("n > 1").drop("n"), "shared")
     members = written(banded.join(shared, "band"), "members")
-    pairs = written(members.filter("node <> low").select("low", "node").distinct(), "pairs")
-    wanted = members.select(F.col("node").alias("wanted")).distinct()
+    by_band = written(members.filter("node <> low").select("low", "node").distinct(), "pairs")
+
+    wanted = members.select(F.col("node").alias("wanted")).union(by_print.select("low")).union(by_print.select("node")).distinct()
     texts = docs.join(wanted, F.col(node) == F.col("wanted"), "left_semi").select(F.col(node).alias("node"), F.col(text_col).alias("text"))
     shingles = _numbers(F.col("text"), lambda t: shingles_of(t, words_each, seed).view(np.int64))
-    sets = written(texts.groupBy("node").agg(F.first("text").alias("text")).select("node", shingles.alias("shingles")), "shingles")
-    # first every node with the smallest one of its bucket, which settles most groups of copies
-    p, q = least
-    sized = written(pairs.join(sets.select("node", F.col("shingles").alias("right")), "node"), "right")
-    both = sized.join(sets.select(F.col("node").alias("low"), F.col("shingles").alias("left")), "low")
-    common = F.size(F.array_intersect("left", "right"))
-    alike = (p + q) * common >= p * (F.size("left") + F.size("right"))
-    links = written(both.filter(alike).select(F.col("low").alias("a"), F.col("node").alias("b")), "links")
+    sets = written(texts.dropDuplicates(["node"]).select("node", shingles.alias("shingles")), "shingles")
+
+    links = written(_checked(by_print, sets, least), "links")
+    named = lambda roots, side: roots.select(F.col("node").alias(side), F.col("root").alias(f"{side}_root"))
+    roots = written(components(links, "a", "b"), "roots")
+    # then every node with the smallest one of its buckets, where fingerprints have not linked them already
+    apart = (by_band.join(named(roots, "low"), "low", "left").join(named(roots, "node"), "node", "left")
+             .filter(F.coalesce("low_root", "low") != F.coalesce("node_root", "node")).select("low", "node"))
+    links = links.unionByName(written(_checked(apart, sets, least), "links"))
     roots = written(components(links, "a", "b"), "roots")
-    named = written(members.join(roots, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root")), "named")
-    more = written(_open_links(named, sets, least), "links")
+    left = written(members.join(roots, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root")), "named")
+    more = written(_open_links(left, sets, least), "links")
     return components(links.unionByName(more), "a", "b")
 
 

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import worker_store
+from tickloom.llm.common import worker_object
 
 DIMENSIONS = 1024
 SEED = 20240229
@@ -90,7 +90,9 @@ class Profiler:
         """The sum of the trigram vectors, exact in doubles."""
         total = np.zeros(self.dimensions)
         for at in range(0, len(keys), 4096):
-            total += counts[at:at + 4096].astype(np.float32) @ self._vectors(keys[at:at + 4096]).astype(np.float32)
+            n, vectors = counts[at:at + 4096], self._vectors(keys[at:at + 4096])
+            kind = np.float32 if n.sum() < 1 << 24 else np.float64  # whole numbers below 2^24 add up exactly in float32
+            total += n.astype(kind) @ vectors.astype(kind)
         return total
 
 
@@ -104,10 +106,7 @@ def merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray
 
 
 def profiler(dimensions: int, seed: int) -> Profiler:
-    store, key = worker_store(), ("profiler", dimensions, seed)
-    if key not in store:
-        store[key] = Profiler(dimensions, seed)
-    return store[key]
+    return worker_object(("profiler", dimensions, seed), lambda: Profiler(dimensions, seed))
 
 
 def learn_prototypes(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",

@@ -11,6 +11,7 @@ concatenation of the best paths of its words, so distinct words are searched onc
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,12 +19,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import worker_store
+from tickloom.llm.common import id_text, worker_object
 
 SPACE = "▁"
-CACHE_WORDS = 300_000
+CACHE_BYTES = 48 << 20  # of remembered words, in two generations: when one is full, the older one goes
 LONG_WORD = 64  # longer words are not remembered
 BATCH_CHARS = 4_000_000
+STRANGE = (1, 0.0, -1)  # a character that is no piece
 
 
 class PieceModel:
@@ -66,7 +68,10 @@ class PieceModel:
         self.by_word = not crosses
         self.fallback = spec.trainer_spec.byte_fallback and None not in self.bytes_ids
         self.dtype = np.dtype("<u2" if len(self.text) <= 1 << 16 else "<u4")
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.room = CACHE_BYTES // 2
 
     def normalised(self, text: str) -> str:
         """``text`` as the pieces see it."""
@@ -77,32 +82,38 @@ class PieceModel:
     def best_path(self, line: str) -> tuple[list[int], float]:
         """Ids and score of the best segmentation of a normalised line."""
         n, low = len(line), float("-inf")
-        best, back = [low] * (n + 1), [(0, -1)] * (n + 1)
+        best, back = [low] * (n + 1), [STRANGE] * (n + 1)
         best[0] = 0.0
-        alone, penalty, done = self.alone, self.penalty, 0
-
-        def strange(upto: int, done: int) -> int:
-            """Relax the ends done + 1 .. upto by the characters that are no pieces."""
-            while done < upto:
-                if line[done] not in alone:
-                    score = best[done] + penalty
-                    if score > best[done + 1]:
-                        best[done + 1], back[done + 1] = score, (1, -1)
-                done += 1
-            return done
-
-        for last, (length, score, i) in self.automaton.iter(line):
-            end = last + 1
-            if end - 1 > done:
-                done = strange(end - 1, done)
-            score += best[end - length]
-            if score > best[end]:
-                best[end], back[end] = score, (length, i)
-        strange(n, done)
+        if self.alone.issuperset(line):  # every end can be reached by pieces
+            for last, piece in self.automaton.iter(line):
+                end = last + 1
+                score = best[end - piece[0]] + piece[1]
+                if score > best[end]:
+                    best[end], back[end] = score, piece
+        else:
+            alone, penalty, done = self.alone, self.penalty, 0
+
+            def strange(upto: int, done: int) -> int:
+                """Relax the ends done + 1 .. upto by the characters that are no pieces."""
+                while done < upto:
+                    if line[done] not in alone:
+                        score = best[done] + penalty
+                        if score > best[done + 1]:
+                            best[done + 1], back[done + 1] = score, STRANGE
+                    done += 1
+                return done
+
+            for last, piece in self.automaton.iter(line):
+                if last > done:
+                    done = strange(last, done)
+                score = best[last + 1 - piece[0]] + piece[1]
+                if score > best[last + 1]:
+                    best[last + 1], back[last + 1] = score, piece
+            strange(n, done)
         ids: list[int] = []
         at = n
         while at:
-            length, i = back[at]
+            length, _, i = back[at]
             if i >= 0:
                 ids.append(i)
             elif self.fallback:
@@ -113,12 +124,16 @@ class PieceModel:
         ids.reverse()
         return ids, best[n]
 
-    def _word(self, word: str) -> bytes:
-        ids = self.words.get(word)
+    def _word(self, word: str, key: str) -> bytes:
+        """The ids of a stretch of text, remembered under ``key`` (which leaves out a single space mark before it)."""
+        ids = self.words.get(key)
         if ids is None:
-            ids = np.array(self.best_path(word)[0], self.dtype).tobytes()
+            ids = self.older.get(key) or array(self.code, self.best_path(word)[0]).tobytes()
             if len(word) <= LONG_WORD:
-                self.words[word] = ids
+                self.room -= 240 + 4 * len(word) + len(ids)  # a dictionary entry, its text and its ids, as an upper bound
+                if self.room < 0:
+                    self.words, self.older, self.room = {}, self.words, CACHE_BYTES // 2
+                self.words[key] = ids
         return ids
 
     def encode(self, text: str | None) -> np.ndarray:
@@ -128,25 +143,16 @@ class PieceModel:
             return np.empty(0, self.dtype)
         if not self.by_word:
             return np.array(self.best_path(line)[0], self.dtype)
-        if len(self.words) > CACHE_WORDS:
-            self.words.clear()
-        words = self.words
+        word = self._word
         if line[0] == SPACE and line[-1] != SPACE and SPACE * 2 not in line:
-            parts = line[1:].split(SPACE)
-            plain = self.__dict__.setdefault("plain", {})
-            if len(plain) > CACHE_WORDS:
-                plain.clear()
-            out = []
-            for w in parts:
-                ids = plain.get(w)
-                if ids is None:
-                    ids = np.array(self.best_path(SPACE + w)[0], self.dtype).tobytes()
-                    if len(w) <= LONG_WORD:
-                        plain[w] = ids
-                out.append(ids)
-            return np.frombuffer(b"".join(out), self.dtype)
-        found = re.findall(f"{SPACE}*[^{SPACE}]+|{SPACE}+", line)
-        return np.frombuffer(b"".join([words.get(w) or self._word(w) for w in found]), self.dtype)
+            get = self.words.get
+            return np.frombuffer(b"".join([get(w) or word(SPACE + w, w) for w in line[1:].split(SPACE)]), self.dtype)
+        out = []
+        for part in re.findall(f"{SPACE}*[^{SPACE}]+|{SPACE}+", line):
+            single = part[0] == SPACE and part[1:2] not in ("", SPACE)
+            # other spacing is kept apart by a mark that no key without it begins with
+            out.append(word(part, part[1:] if single else part if part[0] == SPACE else SPACE + "\0" + part))
+        return np.frombuffer(b"".join(out), self.dtype)
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids; bytes that are no UTF-8 become replacement marks."""
@@ -163,10 +169,7 @@ class PieceModel:
 def piece_model(proto: bytes) -> PieceModel:
     import zlib
 
-    store, key = worker_store(), ("pieces", zlib.crc32(proto), len(proto))
-    if key not in store:
-        store[key] = PieceModel(proto)
-    return store[key]
+    return worker_object(("pieces", zlib.crc32(proto), len(proto)), lambda: PieceModel(proto))
 
 
 def encode_documents(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -193,8 +196,9 @@ def encode_documents(docs: DataFrame, model_file: str, id_col: str = "doc_id", t
                                         "n_pieces": [len(x) for x in ids], "round_trip": same})
                     begin, chars, ids, same = i + 1, 0, [], []
 
-    return (docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-            .mapInPandas(encode, "doc_id long, ids array<int>, n_pieces long, round_trip boolean"))
+    return (docs.select(id_text(F.col(id_col)).alias("doc_id"), F.col(text_col).alias("text"))
+            .mapInPandas(encode, "doc_id string, ids array<int>, n_pieces long, round_trip boolean")
+            .withColumn("doc_id", F.col("doc_id").cast("bigint")))
 
 
 def decoded(ids: Column, model_file: str) -> Column:

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import fresh_folder, open_random, open_uri, shuffle_partitions, worker_store, written
+from tickloom.llm.common import fresh_folder, id_text, open_random, open_uri, shuffle_partitions, worker_object, written
 
 MAGIC, VERSION, HEAD = 0x544B4C4D, 1, 5
 CACHE_WORDS = 1_000_000  # a worker forgets its cached words beyond this number
@@ -108,10 +108,7 @@ def word_encoder(spec: str) -> WordEncoder:
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    store, key = worker_store(), ("encoder", zlib.crc32(spec.encode()), len(spec))
-    if key not in store:
-        store[key] = WordEncoder(spec)
-    return store[key]
+    return worker_object(("encoder", zlib.crc32(spec.encode()), len(spec)), lambda: WordEncoder(spec))
 
 
 def write_token_files(docs: DataFrame, tokenizer_file: str, end_id: int, folder: str | None = None,
@@ -130,7 +127,8 @@ def write_token_files(docs: DataFrame, tokenizer_file: str, end_id: int, folder:
     ranged = (
         docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
         .repartitionByRange(F.col("doc_id").asc_nulls_first(), tie)
-        .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), tie, "text"))
+        .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), tie, "text")
+        .select(id_text(F.col("doc_id")).alias("doc_id"), "text"))
 
     def shard(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import uuid
@@ -157,7 +155,7 @@ def write_token_files(docs: DataFrame, tokenizer_file: str, end_id: int, folder:
                 out.write(ids + end)
                 sizes.append(len(ids) // dtype.itemsize + 1)
             nulls.append(batch["doc_id"].isna().to_numpy())
-            keys.append(batch["doc_id"].fillna(0).to_numpy().astype("<i8"))
+            keys.append(np.array([int(k) for k in batch["doc_id"].fillna("0")], "<i8"))
         if out is None:
             return
         out.close()

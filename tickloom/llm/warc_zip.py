@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import fresh_folder, open_random, open_uri, shuffle_partitions, written
+from tickloom.llm.common import fresh_folder, id_text, open_random, open_uri, shuffle_partitions, written
 
 MEMBER, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 PACKAGE_BYTES = 256 << 20  # a task closes a package beyond this size
@@ -204,7 +204,9 @@ def write_packages(pages: DataFrame, folder: str | None = None, min_bytes: int =
         if state:
             yield close()
 
-    return written(with_roles(pages, min_bytes, id_col, url_col, html_col).mapInPandas(packages, "path string, records long"), "packages")
+    roles = with_roles(pages, min_bytes, id_col, url_col, html_col)
+    rows = roles.withColumn("page_id", id_text(F.col("page_id"))).withColumn("refers_to", id_text(F.col("refers_to")))
+    return written(rows.mapInPandas(packages, "path string, records long"), "packages")
 
 
 def record_ranges(packages: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
@@ -269,8 +271,8 @@ def read_packages(packages: DataFrame, with_payload: bool = False, range_bytes:
                     yield _frame(rows, columns)
 
     def _frame(rows: list[dict], columns: list[str]) -> pd.DataFrame:
-        frame = pd.DataFrame(rows, columns=columns)
-        return frame.astype({"page_id": "Int64", "refers_to": "Int64"})
+        exact = {c: pd.array([r[c] for r in rows], "Int64") for c in ("page_id", "refers_to")}
+        return pd.DataFrame({c: exact[c] if c in exact else [r[c] for r in rows] for c in columns})
 
     n = shuffle_partitions(packages.sparkSession)
     return record_ranges(packages, range_bytes).repartition(n, "path", "begin").mapInPandas(read, schema)
