@@ -8,21 +8,26 @@ each cut is first sought in parallel:
 1. every piece runs from a fresh start and reports its end state;
 2. every piece whose assumed start differs from the end state of the piece before
    runs again from that state, ``ROUNDS`` times at most;
-3. a series whose pieces have not met by then is handed on from piece to piece in one
-   ordered pass, which holds one piece at a time, from its first unsettled piece on.
-
-The result is exactly the sequential one. Pieces meet where the states forget their past
-(drift resets, exponential averages); where they do not (a sampler's phase need never
-meet that of a fresh start), the pass runs over the series in one task. So a piece runs
-at most ``ROUNDS + 2`` times, in memory bounded by a piece, whatever the settings are.
+3. where pieces have not met by then, they run from all phases of the sampler at once
+   (``starts.py``). The few states that are left at the end of a piece are the candidate
+   starts of the next one, which runs from all of them: a map from start to end state. The
+   maps compose, so a parallel prefix tells every piece its start, and it runs from there;
+4. what has not met even so is handed on from piece to piece in one ordered pass, which
+   holds one piece at a time, from the first unsettled piece of a series on.
+
+The result is exactly the sequential one: a piece counts as settled only if its start is
+the end of the piece before, to the last bit. Averages and resets forget a wrong start
+within a piece, the phase is found by the maps, and what a series keeps for good (its
+reference deviation, its calibrated limit) is taken from the last settled state.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -31,10 +36,13 @@ from pyspark.sql import types as T
 from tickloom.operators import kernels as K
 from tickloom.operators.masks import n_of_m, n_of_m_interval
 from tickloom.operators.policies import POLICIES, piece_multiple, policy_config
+from tickloom.operators.starts import TAIL, ends, guesses, written_state
 from tickloom.session import chunk_ticks, cut, is_small
 
 CONFIGS_PER_TASK = 8
 ROUNDS = 1
+MAP_ROUNDS = 3  # rounds of start maps; each goes on from the first piece whose start was among no candidates
+PREFIX = 256  # pieces whose maps are composed in one group
 _OUT = [
     T.StructField("config_id", T.IntegerType()),
     T.StructField("tick", T.LongType()),
@@ -51,12 +59,22 @@ _OUT = [
 Step = Callable[[list, pa.Table, object], tuple[pa.Table, object]]
 
 
+class Fan:
+    """How a piece runs from many starts: ``guess(key, base, settled, values before) -> {part: [state]}`` gives states
+    in all phases, ``run(key, ordered rows, {part: [start]}) -> {part: {start: end}}`` the ends from written states."""
+
+    def __init__(self, guess: Callable, run: Callable):
+        self.guess, self.run = guess, run
+
+
+
 def sequential(rows: DataFrame, by: Sequence[str], position: str, step: Step, schema: T.StructType,
-               small: bool, multiple: int = 1) -> DataFrame:
+               small: bool, multiple: int = 1, fan: Fan | None = None) -> DataFrame:
     """Run ``step(key, ordered rows, state) -> (result, state)`` along every key.
 
     ``position`` is the integer order column. Small inputs run one key per task; larger
-    ones are cut into pieces of bounded length as described in the module text.
+    ones are cut into pieces of bounded length as described in the module text. ``fan`` runs a
+    piece from many starts; without it there are no start maps.
     """
     by = list(by)
     if small:
@@ -70,7 +88,7 @@ def sequential(rows: DataFrame, by: Sequence[str], position: str, step: Step, sc
     rows = cut(rows.withColumn("__piece", F.floor(F.col(position) / F.lit(size))))
     state_schema = T.StructType(
         [rows.schema[k] for k in keys]
-        + [T.StructField("start", T.StringType()), T.StructField("end", T.StringType())])
+        + [T.StructField(n, T.StringType()) for n in ("start", "end", "tail")])
 
     def begin(right):
         start = right.column("start")[0].as_py() if right.num_rows else None
@@ -79,11 +97,13 @@ def sequential(rows: DataFrame, by: Sequence[str], position: str, step: Step, sc
     def states(key, left, right):
         """End state of one piece, from the start state in ``right`` (none = fresh)."""
         start, state = begin(right)
-        _, end = step([k.as_py() for k in key][:-1], left.sort_by(position), state)
+        left = left.sort_by(position)
+        _, end = step([k.as_py() for k in key][:-1], left, state)
         kinds = [(k, left.schema.field(k).type) for k in keys]
         data = {k: [v.as_py()] for k, v in zip(keys, key)}
         data["start"], data["end"] = [start], [json.dumps(end, sort_keys=True)]
-        return pa.table(data, schema=pa.schema(kinds + [("start", pa.string()), ("end", pa.string())]))
+        data["tail"] = [json.dumps(left.column("value").slice(max(0, left.num_rows - TAIL)).to_pylist()) if fan else None]
+        return pa.table(data, schema=pa.schema(kinds + [(n, pa.string()) for n in ("start", "end", "tail")]))
 
     def emit(key, left, right):
         return step([k.as_py() for k in key][:-1], left.sort_by(position), begin(right)[1])[0]
@@ -92,18 +112,30 @@ def sequential(rows: DataFrame, by: Sequence[str], position: str, step: Step, sc
     empty = rows.sparkSession.createDataFrame([], T.StructType(
         [rows.schema[k] for k in keys] + [T.StructField("start", T.StringType())]))
     known = cut(grouped(rows).cogroup(grouped(empty)).applyInArrow(states, state_schema))
-    for done in range(ROUNDS + 1):
-        # A piece is stale when it did not start from the end of the piece before
-        # (the nearest earlier one; a key need not have rows in every piece).
+
+    def unsettled(known: DataFrame) -> DataFrame:
+        """Pieces that did not start from the end of the piece before (the nearest earlier one; a key need
+        not have rows in every piece), with that end as ``start``."""
         order = Window.partitionBy(*by).orderBy("__piece")
-        stale = cut(
+        return cut(
             known.withColumn("held", F.col("start")).withColumn("start", F.lag("end").over(order))
             .where(~F.col("start").eqNullSafe(F.col("held"))).select(*keys, "start"))
-        if done == ROUNDS or stale.isEmpty():
-            break
-        again = rows.join(stale.select(*keys), keys, "left_semi")
-        fresh = grouped(again).cogroup(grouped(stale)).applyInArrow(states, state_schema)
-        known = cut(known.join(stale.select(*keys), keys, "left_anti").unionByName(fresh))
+
+    def rerun(known: DataFrame, starts: DataFrame) -> DataFrame:
+        """``known`` after the pieces of ``starts`` ran from there."""
+        again = rows.join(starts.select(*keys), keys, "left_semi")
+        fresh = grouped(again).cogroup(grouped(starts)).applyInArrow(states, state_schema)
+        return cut(known.join(starts.select(*keys), keys, "left_anti").unionByName(fresh))
+
+    stale = unsettled(known)
+    for _ in range(ROUNDS):
+        if not stale.isEmpty():
+            known = rerun(known, stale)
+            stale = unsettled(known)
+    for _ in range(MAP_ROUNDS if fan else 0):
+        if not stale.isEmpty():
+            known = rerun(known, mapped_starts(rows, known, stale, by, position, fan))
+            stale = unsettled(known)
     # Series whose pieces did not meet are handed on from piece to piece in one ordered pass, from the first
     # stale piece on (its start is known: every piece before it is settled).
     name = lambda frame: frame.select(*[F.col(k).alias(f"__f{i}") for i, k in enumerate(by)], *[
@@ -134,6 +166,123 @@ def sequential(rows: DataFrame, by: Sequence[str], position: str, step: Step, sc
     return early.unionByName(ordered.mapInArrow(hand_on, schema))
 
 
+def mapped_starts(rows: DataFrame, known: DataFrame, stale: DataFrame, by: list[str], position: str, fan: Fan) -> DataFrame:
+    """(keys, start) of the pieces from the first unsettled one of every series on, as far as start maps tell them."""
+    keys, series = by + ["__piece"], [*by, "part"]
+    order = Window.partitionBy(*by).orderBy("__piece")
+    first = stale.groupBy(*by).agg(F.min("__piece").alias("__from"), F.min_by("start", "__piece").alias("settled"))
+    bases = (known.withColumn("base", F.lag("end").over(order)).withColumn("before", F.lag("tail").over(order))
+             .withColumn("following", F.lead("__piece").over(order)).join(first, by).where(F.col("__piece") >= F.col("__from"))
+             .withColumn("base", F.when(F.col("__piece") == F.col("__from"), F.col("settled")).otherwise(F.col("base")))
+             .select(*keys, "__from", "settled", "base", "before", "following"))
+    bases = cut(bases)
+    typed = lambda names, *texts: T.StructType(
+        [rows.schema[k] for k in names] + [T.StructField(n, T.StringType()) for n in texts])
+    wanted = rows.join(bases.select(*keys), keys, "left_semi")
+
+    def table_of(left, key, names, found):
+        columns = {k: pa.array([v] * len(found), left.schema.field(k).type) for k, v in zip(keys, key)}
+        return pa.table(columns | {n: pa.array([f[i] for f in found], pa.string()) for i, n in enumerate(names)})
+
+    def candidates(key, left, right):
+        """The states at the end of a piece that its phases lead to."""
+        held = [v.as_py() for v in key]
+        base, settled, before = (json.loads(right.column(c)[0].as_py()) for c in ("base", "settled", "before"))
+        starts = {part: list(map(written_state, states)) for part, states in fan.guess(held[:-1], base, settled, before).items()}
+        found = fan.run(held[:-1], left.sort_by(position), starts)
+        return table_of(left, held, ("part", "start"), sorted({(part, end) for part, m in found.items() for end in m.values()}))
+
+    likely = cut(wanted.groupBy(*keys).cogroup(bases.groupBy(*keys)).applyInArrow(candidates, typed(keys, "part", "start")))
+    parts = likely.select(*series).distinct()
+
+    def own(column):
+        """The part's state in a written state of all parts."""
+        def pick(batches):
+            for whole, part in batches:
+                yield pd.Series([written_state(json.loads(w)[p]) for w, p in zip(whole, part)], dtype=object)
+
+        pick.__annotations__ = {"batches": Iterator[tuple[pd.Series, pd.Series]], "return": Iterator[pd.Series]}
+        return F.pandas_udf(pick, "string")(column, F.col("part"))
+
+    begin = cut(parts.join(first, by).select(*series, F.col("__from"), own(F.col("settled")).alias("state")))
+    next_piece = bases.select(*keys, "following").where("following is not null")
+    starts = (likely.join(next_piece, keys).select(*by, F.col("following").alias("__piece"), "part", "start")
+              .unionByName(begin.select(*by, F.col("__from").alias("__piece"), "part", F.col("state").alias("start"))))
+
+    def run(key, left, right):
+        held = [v.as_py() for v in key]
+        given: dict[str, list[str]] = {}
+        for part, start in zip(right.column("part").to_pylist(), right.column("start").to_pylist()):
+            given.setdefault(part, []).append(start)
+        found = fan.run(held[:-1], left.sort_by(position), given)
+        return table_of(left, held, ("part", "start", "end"), [(p, a, b) for p, m in found.items() for a, b in m.items()])
+
+    name = lambda state: F.md5(state)  # noqa: E731  (a wrong one would be found when the piece runs)
+    maps = cut(wanted.groupBy(*keys).cogroup(starts.groupBy(*keys)).applyInArrow(run, typed(keys, "part", "start", "end"))
+               .select(*keys, "part", name(F.col("start")).alias("enter"), name(F.col("end")).alias("next"), "end"))
+
+    # One small map a piece. Groups of PREFIX pieces are composed in parallel, a scan over the groups of a series
+    # gives every group its start, and the groups hand it on to their pieces.
+    arrow = maps.groupBy(*keys, "part").agg(F.map_from_entries(F.collect_list(F.struct("enter", "next"))).alias("arrow"))
+    arrow = cut(arrow.withColumn("group", F.floor(F.col("__piece") / PREFIX)))
+    group = arrow.schema["group"]
+
+    def steps_of(table):
+        table = table.sort_by("__piece")
+        return [dict(m) for m in table.column("arrow").to_pylist()], table
+
+    def compose(table):
+        steps, table = steps_of(table)
+        whole = {p: p for p in steps[0]}
+        for step in steps:
+            whole = {p: step.get(q) for p, q in whole.items()}
+        kind = pa.map_(pa.string(), pa.string())
+        return table.slice(0, 1).select([*series, "group"]).append_column("whole", pa.array([list(whole.items())], kind))
+
+    text = T.StringType()
+    wholes = arrow.groupBy(*series, "group").applyInArrow(
+        compose, typed(by, "part").add(group).add("whole", T.MapType(text, text)))
+
+    def hand(left, right):
+        """The start of every group of a series: one small row a group."""
+        left, at = left.sort_by("group"), right.column("at")[0].as_py()
+        out = []
+        for whole in left.column("whole").to_pylist():
+            out.append(at)
+            at = dict(whole).get(at)
+        return left.select([*series, "group"]).append_column("at", pa.array(out, pa.string()))
+
+    enters = cut(wholes.groupBy(*series).cogroup(begin.select(*series, name(F.col("state")).alias("at")).groupBy(*series))
+                 .applyInArrow(hand, typed(by, "part").add(group).add("at", text)))
+
+    def walk(left, right):
+        steps, left = steps_of(left)
+        at, out = right.column("at")[0].as_py(), []
+        for step in steps:
+            out.append(at)
+            at = step.get(at)
+        return left.select([*keys, "part"]).append_column("enter", pa.array(out, pa.string()))
+
+    entered = arrow.groupBy(*series, "group").cogroup(enters.groupBy(*series, "group")).applyInArrow(
+        walk, typed(keys, "part", "enter"))
+    found = (maps.join(entered, [*keys, "part", "enter"]).groupBy(*keys)
+             .agg(F.collect_list("part").alias("parts"), F.collect_list("end").alias("ends")))
+
+    def whole_state(parts, states):
+        def build(batches):
+            for names, ends_ in batches:
+                yield pd.Series([written_state({p: json.loads(e) for p, e in zip(a, b)}) for a, b in zip(names, ends_)], dtype=object)
+
+        build.__annotations__ = {"batches": Iterator[tuple[pd.Series, pd.Series]], "return": Iterator[pd.Series]}
+        return F.pandas_udf(build, "string")(parts, states)
+
+    many = parts.groupBy(*by).agg(F.count("*").alias("many"))
+    told = bases.join(found.join(many, by).where(F.size("parts") == F.col("many"))
+                      .select(*keys, whole_state(F.col("parts"), F.col("ends")).alias("end")), keys, "left")
+    start = F.when(F.col("__piece") == F.col("__from"), F.col("settled")).otherwise(F.lag("end").over(order))
+    return cut(told.withColumn("start", start).where("start is not null").select(*keys, "start"))
+
+
 def pieces(batches, keys: list[str]):
     """Tables of whole pieces from record batches sorted by ``keys``; at most one piece is held."""
     held: list[pa.RecordBatch] = []
@@ -211,10 +360,19 @@ def replay(
             parts.append(_columns(by, key[:-1], c, table, out))
         return pa.concat_tables(parts), after
 
+    def guess(key, base, settled, before):
+        return {str(c): guesses(policy, configs[c], base[str(c)], settled[str(c)], before) for c in blocks[key[-1]]}
+
+    def run(key, table, starts):
+        values = table.column("value").to_pylist()
+        side = {a: table.column(a).to_pylist() for a in aux}
+        return {c: ends(kernel, values, side, configs[int(c)], given, multiple > 1) for c, given in starts.items()}
+
+    multiple = piece_multiple(policy, configs)
     schema = T.StructType([trace.schema[k] for k in by] + _OUT)
     played = sequential(rows, [*by, "__block"], "tick", step, schema,
                         is_small(trace) if small is None else small,
-                        piece_multiple(policy, configs))
+                        multiple, Fan(guess, run))
     status = F.element_at(F.array(*[F.lit(s) for s in K.STATUS_NAMES]), F.col("__status") + 1)
     return played.select(
         *by, "config_id", "tick", "value", "sampled", "interval", "urgency",
