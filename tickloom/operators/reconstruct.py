@@ -88,12 +88,39 @@ def asof_forward(left: DataFrame, right: DataFrame, by: Sequence[str], on: str,
         "__row.*", *[F.col(f"__found.{c}").alias(c) for c in take])
 
 
+def overlap_join(points: DataFrame, windows: DataFrame, by: Sequence[str], on: str, start: str, end: str,
+                 take: Sequence[str], how: str = "inner") -> DataFrame:
+    """Points with every window ``[start, end)`` of their key that holds them, however the windows overlap.
+
+    A window has a level, the power of two that is its length or next above it; at that level it lies in at most
+    two buckets. A point asks the one bucket of each level that windows have (a few dozen at most), so a point meets only
+    windows that begin or end within about twice their own length of it, by an equi-join whose hot keys Spark can
+    split. Windows that are empty or lack an end hold nothing; ``how`` is ``inner`` or ``left``.
+    """
+    by = list(by)
+    length = F.col(end).cast("double") - F.col(start).cast("double")
+    sized = windows.where(length > 0).select(*by, F.col(start).alias("__start"), F.col(end).alias("__end"), *take,
+                                             F.ceil(F.log2(length)).cast("int").alias("__level"))
+    levels = sorted(r[0] for r in sized.select("__level").distinct().collect())  # exponents of doubles: bounded
+    bucket = lambda x: F.floor(x.cast("double") / F.pow(F.lit(2.0), F.col("__level")))
+    indexed = sized.withColumn("__bucket", F.explode(F.array_distinct(F.array(bucket(F.col("__start")), bucket(F.col("__end"))))))
+    asked = (points.withColumn("__level", F.explode(F.array(*[F.lit(v) for v in levels]).cast("array<int>")))
+             .withColumn("__bucket", bucket(F.col(on))))
+    hit = asked.join(indexed, [*by, "__level", "__bucket"]).where(
+        (F.col(on) >= F.col("__start")) & (F.col(on) < F.col("__end"))).select(*points.columns, *take)
+    if how == "inner":
+        return hit
+    none = points.join(hit.select(*by, on).distinct(), [*by, on], "left_anti")
+    return hit.unionByName(none, allowMissingColumns=True)
+
+
 def interval_join(points: DataFrame, windows: DataFrame, by: Sequence[str], on: str,
                   start: str, end: str, take: Sequence[str], how: str = "inner") -> DataFrame:
     """Points inside ``[start, end)`` of windows that do not overlap within ``by``.
 
     The last window that began is the only candidate, so this is an as-of look-up
-    and one row per point is moved, whatever the number of windows.
+    and one row per point is moved, whatever the number of windows. Where windows
+    may overlap, ``overlap_join`` finds them all.
     """
     extra = [c for c in (start, end) if c not in take]
     ranges = windows.withColumn(on, F.col(start)) if start != on else windows

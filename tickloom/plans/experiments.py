@@ -16,28 +16,27 @@ from tickloom.plans.windows import FILLED, replicas
 from tickloom.sources import schedules as sc
 from tickloom.sources.tables import event_trace, user_trace
 
-POINTS = f"""points AS (SELECT user_id % 10 AS run, event_id, ({HOUR} - (SELECT min({HOUR}) FROM events))::DOUBLE + 0.5 AS elapsed_s FROM events WHERE event_type = 'view')"""
+POINTS = f"""points AS (SELECT user_id % 10 AS run, event_id, ({HOUR} - (SELECT min({HOUR}) FROM events))::DOUBLE + 0.5 AS elapsed_s FROM events)"""
 
 
 def filled(spark, d):
     return wn.fill_valid(replicas(spark, d), ["run"], "elapsed_s", ["ready", "desired"])
 
 
-def view_points(spark, d):
+def event_points(spark, d):
     e = events(spark, d).withColumn("__h", hour_of("ts"))
     first = e.agg(F.min("__h")).scalar()
-    return e.where(F.col("event_type") == "view").select(
-        (F.col("user_id") % 10).alias("run"), "event_id", ((F.col("__h") - first) + 0.5).alias("elapsed_s"))
+    return e.select((F.col("user_id") % 10).alias("run"), "event_id", ((F.col("__h") - first) + 0.5).alias("elapsed_s"))
 
 
 @query("joi05_replicas_at_time", f"""WITH {FILLED}, {POINTS}
 SELECT p.run, p.event_id, p.elapsed_s, coalesce(f.ready, 1)::INTEGER AS replicas FROM points p ASOF LEFT JOIN filled f ON f.run = p.run AND f.elapsed_s <= p.elapsed_s""")
 def joi05(spark, d):
-    return ex.value_at(view_points(spark, d), filled(spark, d), ["run"], "elapsed_s", "ready", "replicas").withColumn(
+    return ex.value_at(event_points(spark, d), filled(spark, d), ["run"], "elapsed_s", "ready", "replicas").withColumn(
         "replicas", F.col("replicas").cast("int"))
 
 
-@query("joi08_signal_at_decisions", f"""WITH {FILLED}, sig AS (SELECT user_id % 10 AS run, ({SEC} - (SELECT min({HOUR}) FROM events) * 3600.0) / 3600.0 AS t, value FROM events WHERE event_type = 'click'),
+@query("joi08_signal_at_decisions", f"""WITH {FILLED}, sig AS (SELECT user_id % 10 AS run, ({SEC} - (SELECT min({HOUR}) FROM events) * 3600.0) / 3600.0 AS t, value FROM events),
 pts AS (SELECT run, elapsed_s AS t, desired FROM (SELECT *, lag(desired) OVER (PARTITION BY run ORDER BY elapsed_s) AS p FROM filled) WHERE p IS NULL OR desired <> p),
 lo AS (SELECT p.*, s.t AS x0, s.value AS y0 FROM pts p ASOF LEFT JOIN sig s ON s.run = p.run AND s.t <= p.t),
 bo AS (SELECT p.*, s.t AS x1, s.value AS y1 FROM lo p ASOF LEFT JOIN sig s ON s.run = p.run AND s.t >= p.t)
@@ -45,7 +44,7 @@ SELECT run, t, desired, {q6('CASE WHEN x0 IS NULL THEN y1 WHEN x1 IS NULL OR x1
 def joi08(spark, d):
     e = events(spark, d)
     first = e.agg(F.min(hour_of("ts"))).scalar()
-    sig = e.where(F.col("event_type") == "click").select(
+    sig = e.select(
         (F.col("user_id") % 10).alias("run"), ((sec_of("ts") - first * 3600.0) / 3600.0).alias("t"), "value")
     return rounded(ex.decision_points(filled(spark, d).withColumnRenamed("elapsed_s", "t"), sig, ["run"]), "t")
 
@@ -63,6 +62,17 @@ def joi09(spark, d):
     return interval_join(schedule_points(spark, d), phases(spark, d), ["shape"], "elapsed_s", "start_s", "end_s", ["name", "direction"]).drop("elapsed_s")
 
 
+@query("joi09_points_in_overlapping_windows", f"""WITH pts AS (SELECT event_type AS kind, event_id, {SEC} AS t FROM events),
+w AS (SELECT event_type AS kind, event_id AS window_id, {SEC} AS s, {SEC} + value * 60 * (1 + event_id % 7) AS e FROM events WHERE event_id % 10 = 3)
+SELECT kind, event_id, window_id FROM pts JOIN w USING (kind) WHERE t >= s AND t < e""")
+def joi09_overlapping(spark, d):
+    from tickloom.operators.reconstruct import overlap_join
+    e = events(spark, d).select(F.col("event_type").alias("kind"), "event_id", sec_of("ts").alias("t"), "value")
+    w = e.where(F.col("event_id") % 10 == 3).select(
+        "kind", F.col("event_id").alias("window_id"), F.col("t").alias("s"), (F.col("t") + F.col("value") * 60 * (1 + F.col("event_id") % 7)).alias("e"))
+    return overlap_join(e.drop("value"), w, ["kind"], "t", "s", "e", ["window_id"]).drop("t")
+
+
 @query("joi21_stage_at_time", f"""WITH {PH} SELECT p.shape, p.event_id, name, users FROM pts p LEFT JOIN phases f ON f.shape = p.shape AND p.elapsed_s >= start_s AND p.elapsed_s < end_s""")
 def joi21(spark, d):
     return sc.stage_at(schedule_points(spark, d), phases(spark, d), ["shape"]).drop("elapsed_s")

@@ -23,12 +23,26 @@ def sliding_scores(rows: DataFrame, ts: str, width: str, stride: str, by: Sequen
     timed = rows if delay is None else rows.withWatermark(ts, delay)
     anomalies = F.sum(F.when(odd, 1).otherwise(0))
     return timed.groupBy(*by, F.window(ts, width, stride).alias("w")).agg(
-        anomalies.alias("anomalies"),
+        F.count(F.lit(1)).alias("n"), anomalies.alias("anomalies"),
         (anomalies * 2.0 + F.max(urgency) * weight + F.stddev_pop(urgency) * weight).alias("score")).select(
-        *by, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "anomalies", "score")
+        *by, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n", "anomalies", "score")
 
 
 def split_late(rows: DataFrame, second: str, horizon: int) -> DataFrame:
     """Seconds past the horizon are moved into the last bucket and marked."""
     late = F.col(second) > horizon
     return rows.withColumn("capped", late).withColumn(second, F.least(F.col(second), F.lit(horizon)))
+
+
+def unmatched_within(rows: DataFrame, other: DataFrame, by: Sequence[str], ts: str, reach: str, delay: str, match: str) -> DataFrame:
+    """Every row of a stream with the column ``match`` of the rows of ``other`` up to ``reach`` before it; null if there is none.
+
+    A stream-stream outer join: both sides keep rows only as long as their watermarks need them, and a row without
+    a partner comes out once the watermark has passed it.
+    """
+    left = rows.withWatermark(ts, delay).alias("l")
+    right = other.select(*by, ts, match).withWatermark(ts, delay).alias("r")
+    near = (F.col(f"r.{ts}") <= F.col(f"l.{ts}")) & (F.col(f"r.{ts}") > F.col(f"l.{ts}") - F.expr(f"INTERVAL {reach}"))
+    for k in by:
+        near = near & (F.col(f"l.{k}") == F.col(f"r.{k}"))
+    return left.join(right, near, "leftOuter").select("l.*", F.col(f"r.{match}").alias(f"matched_{match}"))
