@@ -11,7 +11,7 @@ from tickloom.operators import windows as wn
 from tickloom.operators.counters import interval_accounting
 from tickloom.operators.reconstruct import hold_last
 from tickloom.operators.replay import n_of_m_replay, replay
-from tickloom.operators.requests import _t_two_sided
+from tickloom.operators.requests import two_sided_p
 from tickloom.operators.sweep import budget_match
 from tickloom.params import make_config
 from tickloom.sources import schedules as sc
@@ -179,7 +179,7 @@ def test_cpu_quantity(spark):
 
 def test_student_t():
     for t, df in ((2.228138852, 10), (12.70620474, 1), (4.30265273, 2), (1.959966, 10 ** 6)):
-        assert abs(_t_two_sided(t, df) - 0.05) < 1e-6
+        assert abs(two_sided_p([t], [df])[0] - 0.05) < 1e-6
 
 
 def test_flapping(spark):
