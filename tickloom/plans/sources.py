@@ -16,6 +16,7 @@ from tickloom.sources import records as rec
 from tickloom.sources import schedules as sc
 from tickloom.sources import text_logs as tl
 from tickloom.sources.tables import event_trace, table, user_trace
+from tickloom.streaming.drain import scratch_path
 
 def val():
     return F.col("value").cast("string")
@@ -74,7 +75,7 @@ LOG_SQL = """log AS (SELECT event_id AS line_no, CASE WHEN event_type = 'signup'
   FROM events WHERE event_type <> 'error')"""
 
 
-def event_log(spark, d):
+def log_rows(spark, d):
     """JSON lines with reading and event rows; lines of one type are cut short."""
     event = F.when(F.col("event_type") == "signup", F.lit("track_start"))
     row = F.to_json(F.struct(
@@ -83,8 +84,11 @@ def event_log(spark, d):
         F.when(F.col("user_id") % 3 == 0, "kube-system").otherwise("default").alias("namespace"),
         F.when(event.isNull(), F.col("value")).alias("value")))
     line = F.when(F.col("event_type") == "error", F.substring(row, 1, 12)).otherwise(row)
-    lines = events(spark, d).select(F.col("event_id").alias("line_no"), line.alias("line"))
-    return jt.parse_log_lines(lines, jt.EVENT_ROW).select(
+    return events(spark, d).select(F.col("event_id").alias("line_no"), line.alias("line"))
+
+
+def event_log(spark, d):
+    return jt.parse_log_lines(log_rows(spark, d), jt.EVENT_ROW).select(
         "line_no", "event", "pod", "pod_name", "namespace", "value")
 
 
@@ -93,6 +97,15 @@ def src06(spark, d):
     return event_log(spark, d)
 
 
+@query("src06_gzip_event_files", f"WITH {LOG_SQL} SELECT event, pod, pod_name, namespace, value FROM log")
+def src06_files(spark, d):
+    """The same log through compressed files, with blank lines between its lines."""
+    lines = log_rows(spark, d).select(F.explode(F.array("line", F.lit(""))).alias("line"))
+    path = scratch_path(spark, "event-log")
+    lines.write.option("compression", "gzip").text(path)
+    return jt.read_event_log(spark, path).select("event", "pod", "pod_name", "namespace", "value")
+
+
 READINGS = """SELECT line_no, pod, value FROM log l WHERE event IS NULL AND value IS NOT NULL AND EXISTS (
   SELECT 1 FROM log s WHERE s.event = 'track_start' AND s.namespace = 'default' AND s.pod = l.pod{more})"""
 
@@ -278,6 +291,15 @@ def src23(spark, d):
     return rec.scaler_settings(docs, ["doc"], "text")
 
 
+@query("src23_scale_events", """SELECT event_id AS doc, 'SuccessfulRescale' AS reason, 'New size: ' || user_id AS message, CAST(event_id AS VARCHAR) AS "lastTimestamp" FROM events WHERE event_type <> 'signup'
+UNION ALL SELECT event_id, 'SuccessfulRescale', NULL, NULL FROM events WHERE event_type = 'purchase'""")
+def src23_events(spark, d):
+    kind = F.when(F.col("event_type") == "signup", F.lit("FailedGetMetric")).otherwise(F.lit("SuccessfulRescale"))
+    more = F.when(F.col("event_type") == "purchase", F.lit(', {"reason": "SuccessfulRescale"}, {"message": "no reason"}')).otherwise(F.lit(""))
+    doc = cat('{"items": [{"reason": "', kind, '", "message": "New size: ', F.col("user_id"), '", "lastTimestamp": "', F.col("event_id"), '"}', more, "]}")
+    return rec.scale_events(events(spark, d).select(F.col("event_id").alias("doc"), doc.alias("text")), ["doc"], "text")
+
+
 OBSERVED_SQL = f"""{PHASES}, seen AS (
   SELECT shape, name, start_s + 0.5 AS start_s, end_s + 0.25 AS end_s, direction, start_s AS scheduled_start_s, end_s AS scheduled_end_s
   FROM phases WHERE direction <> 'down')"""
