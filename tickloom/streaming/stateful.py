@@ -17,6 +17,7 @@ from tickloom.operators.policies import POLICIES, policy_config
 from tickloom.operators.replay import Step
 
 _STATE = "last long, body string"
+_EMPTY = {T.DoubleType: "Float64", T.BooleanType: "boolean", T.StringType: "string"}  # kinds of columns without values; else whole numbers
 
 
 def stream_sequential(rows: DataFrame, by: Sequence[str], position: str, step: Step,
@@ -45,10 +46,8 @@ def stream_sequential(rows: DataFrame, by: Sequence[str], position: str, step: S
             done["late"] = False
             yield done[names + ["late"]]
         if len(late):
-            old = pd.DataFrame({n: late[n] if n in late else None for n in names}, index=late.index)
-            for n in names:
-                if n not in late.columns and isinstance(kinds[n], T.NumericType):
-                    old[n] = pd.array([None] * len(old), dtype="Float64" if isinstance(kinds[n], T.DoubleType) else "Int64")
+            empty = lambda kind: pd.Series(pd.array([None] * len(late), _EMPTY.get(type(kind), "Int64")), index=late.index)
+            old = pd.DataFrame({n: late[n] if n in late.columns else empty(kinds[n]) for n in names})
             old["late"] = True
             yield old[names + ["late"]]
 
