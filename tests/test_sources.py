@@ -2,10 +2,12 @@
 
 import gzip
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from tickloom.sources import json_files as jf
 from tickloom.sources import json_traces as jt
 from tickloom.sources import text_logs as tl
 from tickloom.sources.tables import table
@@ -23,9 +25,9 @@ def test_json_trace_files(spark, tmp_path):
     for name, (content, field, want) in cases.items():
         path = tmp_path / name
         path.write_text(json.dumps(content, indent=1))
-        got = jt.read_json_trace(spark, str(path), field).orderBy("tick").collect()
+        got = jf.read_json_trace(spark, str(path), field).orderBy("tick").collect()
         assert [r.value for r in got] == want, name
-    capped = jt.read_json_trace(spark, str(tmp_path / "flat.json"), max_points=2)
+    capped = jf.read_json_trace(spark, str(tmp_path / "flat.json"), max_points=2)
     assert capped.count() == 2
 
 
@@ -33,7 +35,53 @@ def test_no_numeric_field(spark, tmp_path):
     path = tmp_path / "bad.json"
     path.write_text('[{"a": "x"}]')
     with pytest.raises(ValueError):
-        jt.read_json_trace(spark, str(path))
+        jf.read_json_trace(spark, str(path))
+
+
+ELEMENTS = [1, "2.5", "a,b", '"', "[", "]}", "x\\", {"a": [1, {"b": "},{"}], "c": '\\",'}, [], {}, [[1, 2], [3]], None, True, "é, ,\n", -7.5e3, ""]
+
+
+@pytest.mark.parametrize("plan", ["auto", "chunked"])
+@pytest.mark.parametrize("split", [7, 64, 1 << 20])
+def test_array_files_in_byte_ranges(spark, tmp_path, plan, split):
+    """Elements equal those of a JSON parser, wherever the files are split."""
+    rng = random.Random(split)
+    want = {}
+    for i in range(6 if plan == "auto" else 3):
+        rows = rng.choices(ELEMENTS, k=rng.choice([1, 5, 40]))
+        rows[0] = [3.5, rows[0]][i > 3 and not isinstance(rows[0], list)]
+        whole = [rows, [9, [10]], "z"] if i % 2 else rows
+        text = json.dumps(whole, indent=i % 3 or None, ensure_ascii=bool(i % 2))
+        (tmp_path / f"f{i}.json").write_text("  " + text + "\n", encoding="utf-8")
+        want[f"f{i}.json"] = rows
+    for name, text in {"empty.json": "[]", "inner.json": "[ [ ] ]", "nothing.json": "", "object.json": '{"a": [1, 2]}', "number.json": "5"}.items():
+        (tmp_path / name).write_text(text)
+    settings = {"spark.sql.files.maxPartitionBytes": str(split), "spark.sql.files.openCostInBytes": "0", "spark.tickloom.path": plan}
+    before = {k: spark.conf.get(k, None) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        got = {}
+        for r in jf.read_array_elements(spark, str(tmp_path)).orderBy("file", "tick").collect():
+            got.setdefault(r.file.rsplit("/", 1)[1], []).append((r.tick, json.loads(r.element)))
+        assert got == {f: list(enumerate(rows)) for f, rows in want.items()}
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_one_line_array_is_read_by_many_tasks(spark, tmp_path):
+    path = str(tmp_path / "line.json")
+    with open(path, "w") as f:
+        f.write("[" + ",".join(f'{{"v": {i}, "s": "a,b"}}' for i in range(100_000)) + "]")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "200000")
+    try:
+        assert jf._pieces(spark, path).rdd.getNumPartitions() >= 10
+        got = jf.read_json_trace(spark, path)
+        assert tuple(got.agg(F.count("*"), F.sum("value"), F.sum((F.col("value") == F.col("tick")).cast("int"))).first()) == (100_000, 4999950000.0, 100_000)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
 
 
 def test_event_log_with_gzip_and_corrupt_lines(spark, tmp_path):

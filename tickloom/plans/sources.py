@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tickloom.functions.numeric import r6
@@ -11,6 +12,7 @@ from tickloom.plans.fidelity import rounded
 from tickloom.plans.inputs import PHASES, events, lines_sql, log_lines, phases
 from tickloom.plans.registry import q6, query
 from tickloom.plans.sqltext import EVENTS, MASKED, USERS
+from tickloom.sources import json_files as jf
 from tickloom.sources import json_traces as jt
 from tickloom.sources import records as rec
 from tickloom.sources import schedules as sc
@@ -68,6 +70,40 @@ def src05(spark, d):
     return jt.json_values(docs, ["doc"], "text", "value").withColumn("kind_tick", F.col("tick"))
 
 
+ARRAY_FILES = """SELECT event_type, event_id // 65536 AS part, value,
+  row_number() OVER (PARTITION BY event_type, event_id // 65536 ORDER BY event_id) - 1 AS tick FROM events"""
+
+
+def array_files(spark, d, element, opening="[", closing="]"):
+    """JSON array files of one line, one per event type and 65,536 event ids, and the rows read back from them."""
+    rows = events(spark, d).select("event_type", F.floor(F.col("event_id") / 65536).alias("part"), "event_id", element.alias("element"))
+    order = Window.partitionBy("event_type", "part").orderBy("event_id")
+    line = F.concat(F.when(F.lag("event_id").over(order).isNull(), opening).otherwise(""), "element",
+                    F.when(F.lead("event_id").over(order).isNull(), closing).otherwise(""))
+    path = scratch_path(spark, "json-arrays")
+    rows.select("event_type", "part", "event_id", line.alias("line")).sortWithinPartitions("event_type", "part", "event_id").select(
+        "event_type", "part", "line").write.partitionBy("event_type", "part").option("lineSep", ",").text(path)
+    return path
+
+
+def with_file_keys(trace):
+    found = lambda name: F.regexp_extract("file", f"{name}=([^/]+)/", 1)
+    return trace.select(found("event_type").alias("event_type"), found("part").cast("long").alias("part"), "tick", "value")
+
+
+@query("src03_json_array_files", ARRAY_FILES)
+def src03_files(spark, d):
+    """Elements with commas, brackets and quotes in strings and lists; the field is detected."""
+    element = cat('{"name": "a, \\"[{", "at": {"list": [1, [2, 3]], "cpus": "', val(), '"}, "mem": ', F.col("user_id"), "}")
+    path = array_files(spark, d, element, "[ [", "], [7, 8]]\n")
+    return with_file_keys(jf.read_json_trace(spark, path))
+
+
+@query("src05_plain_array_files", ARRAY_FILES)
+def src05_files(spark, d):
+    return with_file_keys(jf.read_json_trace(spark, array_files(spark, d, val())))
+
+
 LOG_SQL = """log AS (SELECT event_id AS line_no, CASE WHEN event_type = 'signup' THEN 'track_start' END AS event,
     CAST(user_id AS VARCHAR) AS pod, 'web-' || user_id AS pod_name,
     CASE WHEN user_id % 3 = 0 THEN 'kube-system' ELSE 'default' END AS namespace,

@@ -36,16 +36,6 @@ def json_values(docs: DataFrame, by: Sequence[str], text: str, field: str | None
     return exploded.select(*by, F.col("tick").cast("long"), finite(value.try_cast("double")).alias("value"))
 
 
-def read_json_trace(spark: SparkSession, path: str, field: str | None = None, max_points: int = 0) -> DataFrame:
-    """``file, tick, value`` of JSON array files; the field is detected when not given."""
-    docs = spark.read.text(path, wholetext=True).select(
-        F.col("_metadata.file_path").alias("file"), F.col("value").alias("text"))
-    if field is None:
-        field = detect_field(docs, "text")
-    trace = json_values(docs, ["file"], "text", field)
-    return trace.where(F.col("tick") < max_points) if max_points > 0 else trace
-
-
 def detect_field(docs: DataFrame, text: str) -> str | None:
     """Dotted path of the first numeric leaf of the first element (None: flat array).
 
@@ -53,7 +43,11 @@ def detect_field(docs: DataFrame, text: str) -> str | None:
     """
     row = docs.select(F.try_element_at(array_elements(F.col(text)), F.lit(1)).alias("e")).where(
         F.col("e").isNotNull()).first()
-    sample = json.loads(row.e) if row is not None else None
+    return first_numeric(json.loads(row.e)) if row is not None else None
+
+
+def first_numeric(sample: object) -> str | None:
+    """Dotted path of the first numeric leaf of an element; None if it is no object."""
     if not isinstance(sample, dict):
         return None
     for path, leaf in _leaves(sample, ""):

@@ -98,7 +98,7 @@ def inject_anomalies(rows: DataFrame, identity: list[Column]) -> DataFrame:
     """Adds U(-m, m) to exactly max(1, int(n f)) ticks of a segment, then clips."""
     hit = rows.where(F.col("anomaly_fraction") > 0)
     ranked = number_rows(hit.withColumn("__h", hash_uniform(F.lit("pick"), *identity)),
-                         ["series_id", "seq"], ["__h", "i"], "__rank")
+                         ["series_id", "seq"], ["__h", "i"], "__rank", small=False)  # the size of a plan's tables says nothing of generated rows
     k = F.greatest(F.lit(1), F.floor(F.col("n") * F.col("anomaly_fraction")))
     jump = (hash_uniform(F.lit("jump"), *identity) * 2.0 - 1.0) * F.col("anomaly_magnitude")
     changed = ranked.withColumn("value", F.when(F.col("__rank") < k, F.col("value") + jump).otherwise(F.col("value")))
