@@ -10,7 +10,7 @@ from tickloom.operators import fidelity as fd
 from tickloom.operators import intervals as iv
 from tickloom.operators import scans as sc
 from tickloom.operators.masks import n_of_m
-from tickloom.operators.replay import replay
+from tickloom.operators.replay import masked_replay, replay
 from tickloom.params import make_config
 
 
@@ -114,3 +114,18 @@ def test_reports(spark, noisy):
         spark.conf.set("spark.tickloom.path", "auto")
     for a, b in zip(one, many):
         close(a, b)
+
+
+@pytest.mark.parametrize("urgency", [None, "u"])
+def test_masked_replay_leaves_unread_ticks_out(chunked, noisy, urgency):
+    """Long gaps, a mask of NULLs and a series that is never read; equal to a kernel that steps over every tick."""
+    tick = F.col("tick")
+    mask = F.when(F.col("series_id") == "b", False).when((tick < 20) | (tick > 190), tick % 3 == 0)
+    rows = noisy.withColumn("sampled", mask).withColumn("interval", (tick % 5 + 1).cast("int")).withColumn("u", tick / 240)
+    sides = [F.col("sampled").alias("mask"), "interval", *([F.col("u").alias("urgency")] if urgency else [])]
+    every = replay(rows.select("series_id", "tick", "value", *sides), [make_config()], "masked",
+                   aux=("mask", "interval", "urgency")[:len(sides)], small=True)
+    for small in (True, False):
+        got = masked_replay(rows, make_config(), urgency=urgency, small=small)
+        assert got.columns == every.columns and [t for _, t in got.dtypes] == [t for _, t in every.dtypes]
+        close(rows_of(got.na.fill(-1.0).na.fill("-")), rows_of(every.na.fill(-1.0).na.fill("-")))

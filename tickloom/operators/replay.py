@@ -383,13 +383,22 @@ def replay(
 def masked_replay(trace: DataFrame, config: Mapping[str, object], mask: str = "sampled",
                   interval: str = "interval", urgency: str | None = None,
                   by: Sequence[str] = ("series_id",), small: bool | None = None) -> DataFrame:
-    """Feed the tracker only the ticks of a mask column."""
+    """Feed the tracker only the ticks of a mask column.
+
+    Unread ticks (mask false or NULL) change no state, so they stay out of the replay and its shuffle; they are added to
+    its rows with the columns that the tracker would fill as NULL.
+    """
     side = [F.col(mask).alias("mask"), F.col(interval).cast("int").alias("interval")]
     if urgency is not None:
         side.append(F.col(urgency).cast("double").alias("urgency"))
-    rows = trace.select(*by, "tick", "value", *side)
+    rows = trace.select(*by, F.col("tick").cast("long"), F.col("value").cast("double"), *side)
     aux = ("mask", "interval", "urgency")[: len(side)]
-    return replay(rows, [config], "masked", by, aux, small)
+    read = F.coalesce(F.col("mask").cast("boolean"), F.lit(False))
+    played = replay(rows.where(read), [config], "masked", by, aux, small)
+    unread = rows.where(~read).select(
+        *by, F.lit(0).alias("config_id"), "tick", "value", F.lit(False).alias("sampled"), "interval",
+        (F.lit(1.0) / F.col("interval") if urgency is None else F.col("urgency")).alias("urgency"))
+    return played.unionByName(unread, allowMissingColumns=True)
 
 
 def n_of_m_replay(trace: DataFrame, config: Mapping[str, object], n: int, m: int, phase: int = 0,
