@@ -53,9 +53,9 @@ def made(seed):
 def test_equals_brute_force(spark, seed):
     docs, items = made(seed)
     docs += [(None, items[3][1]), (1000, None), (1001, ""), (1002, items[4][1] + " x" * 3_000), (1003, items[5][1]), (1003, items[5][1]), (1004, "?!")]
-    items += [(100, None), (101, ""), (None, "no id"), (102, items[7][1]), (103, "!!")]
+    items += [(7, items[9][1]), (110, items[9][1]), (100, None), (101, ""), (None, "no id"), (102, items[7][1]), (103, "!!")]
     d = spark.createDataFrame([(*r, 1, 2) for r in docs], "doc_id long, text string, item_id int, similarity int")
-    b = spark.createDataFrame([(*r, 3) for r in items], "item_id long, text string, doc_id int")
+    b = spark.createDataFrame([(*r, 3) for r in items + items[5:8]], "item_id long, text string, doc_id int")
     expected = brute(docs, items)
     assert sorted([tuple(r) for r in dc.contaminated(d, b).collect()], key=str) == expected
     # a benchmark that travels in several slices gives the same
@@ -70,17 +70,45 @@ def test_blocks_find_all_prints_within_the_radius():
     rng = np.random.default_rng(4)
     a = rng.integers(0, 1 << 63, 300, dtype=np.uint64)
     index = dc.Benchmark([(i, f"a{i} b{i} c{i} d{i} e{i} f{i}") for i in range(20)])
-    size = index.sizes[6]
-    near = size.prints.copy()
+    items = np.array([i.print for i in index.items], np.uint64)
+    near = items.copy()
     for i, bits in enumerate(rng.permuted(np.tile(np.arange(64), (20, 1)), axis=1)):
         for b in bits[:dc.RADIUS]:
             near[i] ^= np.uint64(1) << np.uint64(b)
-    for prints in (a, near, size.prints):
-        found = np.zeros((len(prints), 20), bool)
-        for b in range(dc.BLOCKS):
-            found |= size.near[b][index.block(prints, b)]
-        within = np.bitwise_count(prints[:, None] ^ size.prints[None, :]) <= dc.RADIUS
-        assert (within <= found).all()
+    for prints in (a, near, items):
+        for one in items:
+            assert np.flatnonzero(np.bitwise_count(prints ^ one) <= dc.RADIUS).tolist() == index.within(prints, one).tolist()
+
+
+def test_items_that_share_most_of_their_words():
+    """A template of all items, copies of an item, items that differ in one word; texts that hold some of them."""
+    rng = random.Random(9)
+    frame = rng.choices(WORDS, k=24)
+    items = [(i, " ".join(frame[:12] + [f"x{i}", f"y{i % 7}"] + frame[12:] + rng.choices(WORDS, k=i % 5))) for i in range(60)]
+    items += [(100 + i, items[i % 3][1]) for i in range(20)]
+    docs = []
+    for d in range(30):
+        w = rng.choices(WORDS, k=30)
+        for i in rng.sample(range(60), 3):
+            x = items[i][1].split()
+            if d % 3 == 0:
+                x[rng.randrange(len(x))] = "other"
+            w += x + rng.choices(WORDS, k=d)
+        docs.append((d, " ".join(w)))
+    index = dc.Benchmark(items)
+    assert sorted([(d, *hit) for d, text in docs for hit in index.find(text)], key=str) == brute(docs, items)
+
+
+def test_many_items_of_one_length_and_a_long_text():
+    """Comparisons follow the marks found, not texts times items."""
+    rng = random.Random(10)
+    items = [(i, " ".join(rng.choices(WORDS, k=20))) for i in range(6_000)]
+    index, w = dc.Benchmark(items), rng.choices(WORDS, k=20_000)
+    w[5_000:5_020], w[19_980:] = items[17][1].split(), items[4_321][1].split()
+    compared = []
+    within, index.within = index.within, lambda prints, one: compared.append(len(prints)) or within(prints, one)
+    assert [hit[:2] for hit in index.find(" ".join(w))] == [(17, 5_000), (4_321, 19_980)]
+    assert sum(compared) < 2_000
 
 
 def test_empty_tables(spark):

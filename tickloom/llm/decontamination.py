@@ -6,16 +6,19 @@ block differs in at most RADIUS // BLOCKS bits, so looking up every block with t
 fingerprints within the radius. Candidates are verified by the weighted Jaccard similarity of their
 five-word shingles (weights: occurrences in the item and in the window).
 
-A window of similarity above zero shares a shingle with the item, so windows are formed only around the
-places where a shingle of the benchmark occurs; this leaves out no window that could pass the check.
+A window that passes the check holds at least the share SIMILARITY of the item's shingles, so it holds one of any
+(1 - SIMILARITY) of them and one more. The rarest of an item are its marks; only windows around a mark are formed,
+and compared with the items of that mark alone. This leaves out no window that could pass the check, and a passage
+that all items share brings no item into the comparison of another's windows.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -72,40 +75,41 @@ def near_block(blocks: int = BLOCKS, radius: int = RADIUS) -> np.ndarray:
 
 
 @dataclass
-class Size:
-    """The items of one length, with their block index."""
+class Item:
+    """An item's words, shingle length and fingerprint."""
 
+    name: int | str
+    words: list[str]
     k: int
-    items: list[int] = field(default_factory=list)
-    texts: list[list[str]] = field(default_factory=list)
-    prints: np.ndarray | None = None
-    near: np.ndarray | None = None  # (block, value, item): value within the tolerance of the item's block
+    print: np.uint64
 
 
 class Benchmark:
     """A slice of the benchmark, indexed for the search of documents."""
 
-    def __init__(self, rows: list[tuple[int, str]], shingle: int = SHINGLE_WORDS, at_least: float = SIMILARITY,
+    def __init__(self, rows: list[tuple[int | str, str]], shingle: int = SHINGLE_WORDS, at_least: float = SIMILARITY,
                  radius: int = RADIUS, blocks: int = BLOCKS):
-        self.at_least, self.radius, self.blocks, self.shingle = at_least, radius, blocks, shingle
-        self.sizes: dict[int, Size] = {}
+        self.at_least, self.radius, self.blocks = at_least, radius, blocks
+        self.near = near_block(blocks, radius)
+        self.items: list[Item] = []
         self.known: dict[str, int] = {}
-        self.where: dict[int, dict[int, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
+        shingles = []
         for item, text in rows:
             w = words((text or "").lower())
             if w:
-                size = self.sizes.setdefault(len(w), Size(min(shingle, len(w))))
-                size.items.append(item)
-                size.texts.append(w)
-                self.known.update((x, word_hash(x)) for x in w)
-        near = near_block(blocks, radius)
-        for n, size in self.sizes.items():
-            hashed = [np.array([self.known[x] for x in w], np.uint64) for w in size.texts]
-            size.prints = np.array([window_prints(h, n)[0] for h in hashed], np.uint64)
-            size.near = np.stack([near[:, self.block(size.prints, b)] for b in range(blocks)])
-            for i, h in enumerate(hashed):
-                for s in set(shingle_hashes(h, size.k).tolist()):
-                    self.where[size.k][s].append((n, i))
+                for x in w:
+                    if x not in self.known:
+                        self.known[x] = word_hash(x)
+                hashed, k = np.array([self.known[x] for x in w], np.uint64), min(shingle, len(w))
+                self.items.append(Item(item, w, k, window_prints(hashed, len(w))[0]))
+                shingles.append(shingle_hashes(hashed, k).tolist())
+        shared = Counter(s for each in shingles for s in set(each))
+        # shingle length -> shingle -> items that have it among their marks
+        self.where: dict[int, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
+        for i, each in enumerate(shingles):
+            marks = len(each) - math.ceil(at_least * len(each) - 1e-9) + 1
+            for s in set(sorted(each, key=lambda s: (shared[s], s))[:marks]):
+                self.where[self.items[i].k][s].append(i)
         self.filters = {}
         for k, found in self.where.items():
             flags = np.zeros(1 << FILTER_BITS, bool)
@@ -116,65 +120,82 @@ class Benchmark:
         width = BITS // self.blocks
         return ((prints >> np.uint64(b * width)) & np.uint64((1 << width) - 1)).astype(np.int64)
 
-    def find(self, text: str | None) -> list[tuple[int, int, int, float]]:
-        """(item, first word, words, similarity) of the best window of every item that the text contains."""
+    def find(self, text: str | None) -> list[tuple[int | str, int, int, float]]:
+        """(name, first word, words, similarity) of the best window of every item that the text contains."""
         w = words((text or "").lower())
-        if not w or not self.sizes:
+        if not w or not self.items:
             return []
         get = self.known.get
         hashes = np.array([get(x, 0) for x in w], np.uint64)
-        touched: dict[int, list[int]] = defaultdict(list)
+        marked: dict[int, list[int]] = defaultdict(list)
         for k, found in self.where.items():
             if k > len(w):
                 continue
             shingles = shingle_hashes(hashes, k)
             for at in np.flatnonzero(self.filters[k][(shingles >> np.uint64(64 - FILTER_BITS)).astype(np.int64)]):
-                for n, _ in found.get(int(shingles[at]), ()):
-                    touched[n].append(int(at))
-        for n, size in self.sizes.items():  # texts below the length of a shingle: the one window there is
-            if len(w) < size.k:
-                touched[n].append(0)
-        best: dict[int, tuple[float, int, int, int]] = {}
-        for n, places in touched.items():
-            self._windows(w, hashes, n, np.unique(places), best)
-        return [(item, at, n, s) for item, (s, _, at, n) in sorted(best.items())]
-
-    def _windows(self, w: list[str], hashes: np.ndarray, n: int, places: np.ndarray, best: dict) -> None:
-        size, span = self.sizes[n], min(n, len(w))
-        full = hashes.copy()
-        # runs of windows that hold one of the places
-        begins, ends = np.maximum(places - span + size.k, 0), np.minimum(places, len(w) - span)
-        begins = np.minimum(begins, ends)
-        runs: list[list[int]] = []
-        for a, b in zip(begins.tolist(), ends.tolist()):
-            if runs and a <= runs[-1][1] + 1:
-                runs[-1][1] = max(runs[-1][1], b)
-            else:
-                runs.append([a, b])
-        for a, b in runs:
-            part = full[a:b + span]
+                for i in found.get(int(shingles[at]), ()):
+                    marked[i].append(int(at))
+        sizes: dict[int, list[tuple[int, np.ndarray]]] = defaultdict(list)
+        for i, places in marked.items():
+            item = self.items[i]
+            span = min(len(item.words), len(w))
+            sizes[span].append((i, self._starts(np.array(places), span, item.k, len(w) - span)))
+        best: dict[int | str, tuple[float, int, int]] = {}
+        for span, wanted in sizes.items():
+            prints = self._prints(w, hashes, span, np.unique(np.concatenate([starts for _, starts in wanted])))
+            for i, starts in wanted:
+                self._check(w, span, prints, self.items[i], starts, best)
+        return [(item, at, n, s) for item, (s, at, n) in sorted(best.items())]
+
+    @staticmethod
+    def _starts(places: np.ndarray, span: int, k: int, last: int) -> np.ndarray:
+        """First words of all windows that hold one of the places, ascending."""
+        edge = np.zeros(last + 2, np.int32)
+        np.add.at(edge, np.minimum(np.maximum(places - span + k, 0), last), 1)
+        np.add.at(edge, np.minimum(places, last) + 1, -1)
+        return np.flatnonzero(np.cumsum(edge[:-1]) > 0)
+
+    @staticmethod
+    def _prints(w: list[str], hashes: np.ndarray, span: int, starts: np.ndarray) -> np.ndarray:
+        """Fingerprints of the windows that begin at ``starts`` (zero elsewhere)."""
+        out = np.zeros(len(w) - span + 1, np.uint64)
+        for run in np.split(starts, np.flatnonzero(np.diff(starts) > 1) + 1):
+            a, b = int(run[0]), int(run[-1])
+            part = hashes[a:b + span].copy()
             for i in np.flatnonzero(part == 0):  # words that no item has
                 part[i] = word_hash(w[a + int(i)])
-            prints = window_prints(part, span)
-            possible = np.zeros((len(prints), len(size.items)), bool)
-            for block in range(self.blocks):
-                possible |= size.near[block][self.block(prints, block)]
-            possible &= np.bitwise_count(prints[:, None] ^ size.prints[None, :]) <= self.radius
-            for at, i in zip(*np.nonzero(possible)):
-                s = similarity(size.texts[i], w[a + at:a + at + span], size.k)
-                rank = (s, -(a + int(at)))
-                item = size.items[i]
-                if s >= self.at_least and (item not in best or rank > best[item][:2]):
-                    best[item] = (*rank, a + int(at), span)
-
-
-def slices(benchmark: DataFrame, id_col: str, text_col: str, slice_bytes: int) -> Iterator[list[tuple[int, str]]]:
-    """The benchmark in lists of at most about ``slice_bytes`` of text."""
-    rows = benchmark.select(F.col(id_col).cast("bigint").alias("item_id"), F.col(text_col).alias("text")).filter("text is not null and item_id is not null")
-    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+            out[a:b + 1] = window_prints(part, span)
+        return out
+
+    def within(self, prints: np.ndarray, one: np.uint64) -> np.ndarray:
+        """Which fingerprints lie within the radius of ``one``: some block is near, then all bits are counted."""
+        possible = np.zeros(len(prints), bool)
+        for b in range(self.blocks):
+            possible |= self.near[self.block(one, b)][self.block(prints, b)]
+        found = np.flatnonzero(possible)
+        return found[np.bitwise_count(prints[found] ^ one) <= self.radius]
+
+    def _check(self, w: list[str], span: int, prints: np.ndarray, item: Item, starts: np.ndarray, best: dict) -> None:
+        for at in starts[self.within(prints[starts], item.print)].tolist():
+            s = similarity(item.words, w[at:at + span], item.k)
+            if s >= self.at_least and (item.name not in best or (s, -at) > (best[item.name][0], -best[item.name][1])):
+                best[item.name] = (s, at, span)
+
+
+def item_rows(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """item_id, text, name of the distinct items that have an id and a text; equal texts have the same name."""
+    rows = benchmark.select(F.col(id_col).cast("bigint").alias("item_id"), F.col(text_col).alias("text")).filter(
+        "text is not null and item_id is not null")
+    return rows.distinct().withColumn("name", F.sha2("text", 256))
+
+
+def slices(rows: DataFrame, slice_bytes: int) -> Iterator[list[tuple[str, str]]]:
+    """(name, text) of the distinct texts, in lists of at most about ``slice_bytes``: copies of an item travel once."""
+    texts = rows.select("name", "text").distinct()
+    total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     count = max(1, -(-total // slice_bytes))
     for i in range(count):
-        yield [tuple(r) for r in rows.filter(F.pmod(F.xxhash64("text"), F.lit(count)) == i).collect()]
+        yield [tuple(r) for r in texts.filter(F.pmod(F.xxhash64("text"), F.lit(count)) == i).collect()]
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -184,31 +205,33 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
     Words are runs of letters, digits and underscores, in lower case. Items and documents that are null or
     have no word match nothing; items without id are left out; an item shorter than a shingle is one shingle.
-    Ties go to the first window. Repeated rows give repeated results; repeated items each match. Other
+    Ties go to the first window. Repeated documents give repeated results; equal texts under several ids match under
+    each, an id with several texts once for each of them, and an item that is repeated under its id counts once. Other
     columns are not read.
     """
-    def searcher(rows: list[tuple[int, str]]):
+    def searcher(rows: list[tuple[int | str, str]]):
         def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             index = Benchmark(rows, at_least=at_least)
             for batch in batches:
                 found = [(d, *hit) for d, text in zip(batch["doc_id"], batch["text"]) for hit in index.find(text)]
-                yield pd.DataFrame(found, columns=["doc_id", "item_id", "start_word", "n_words", "similarity"])
+                yield pd.DataFrame(found, columns=["doc_id", "name", "start_word", "n_words", "similarity"])
 
         return search
 
     out = None
     slim = docs.select(id_text(F.col(id_col)).alias("doc_id"), F.col(text_col).alias("text"))
-    for rows in slices(benchmark, item_col, item_text_col, slice_bytes):
-        part = slim.mapInPandas(searcher(rows), "doc_id string, item_id long, start_word long, n_words long, similarity double")
+    rows = item_rows(benchmark, item_col, item_text_col)
+    for some in slices(rows, slice_bytes):
+        part = slim.mapInPandas(searcher(some), "doc_id string, name string, start_word long, n_words long, similarity double")
         part = part.withColumn("doc_id", F.col("doc_id").cast("bigint"))
         out = part if out is None else out.unionByName(part)
-    return out
+    return out.join(rows.select("name", "item_id"), "name").select("doc_id", "item_id", "start_word", "n_words", "similarity")
 
 
 def is_clean(benchmark: DataFrame, text: Column, item_col: str = "item_id", item_text_col: str = "text",
              at_least: float = SIMILARITY, slice_bytes: int = SLICE_BYTES) -> Column:
     """Boolean column: the text holds no benchmark item (null and empty texts are clean)."""
-    def checker(rows: list[tuple[int, str]]):
+    def checker(rows: list[tuple[int | str, str]]):
         def check(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
             index = Benchmark(rows, at_least=at_least)
             for batch in texts:
@@ -218,6 +241,6 @@ def is_clean(benchmark: DataFrame, text: Column, item_col: str = "item_id", item
         return F.pandas_udf(check, "boolean")
 
     clean = F.lit(True)
-    for rows in slices(benchmark, item_col, item_text_col, slice_bytes):
-        clean = clean & checker(rows)(text)
+    for some in slices(item_rows(benchmark, item_col, item_text_col), slice_bytes):
+        clean = clean & checker(some)(text)
     return clean
