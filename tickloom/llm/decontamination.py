@@ -16,8 +16,9 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,14 +26,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import id_text
+from tickloom.llm.common import id_text, worker_object
 
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
 RADIUS = 20
 BLOCKS = 8
 BITS = 64
-SLICE_BYTES = 32 << 20  # benchmark text that travels to the tasks at once; a larger benchmark takes several passes
+SLICE_BYTES = 16 << 20  # benchmark text that travels to the tasks at once; a larger benchmark takes several passes
 FILTER_BITS = 22
 
 words = re.compile(r"\w+").findall
@@ -198,6 +199,12 @@ def slices(rows: DataFrame, slice_bytes: int) -> Iterator[list[tuple[str, str]]]
         yield [tuple(r) for r in texts.filter(F.pmod(F.xxhash64("text"), F.lit(count)) == i).collect()]
 
 
+def indexed(rows: list[tuple[int | str, str]], at_least: float) -> Callable[[], Benchmark]:
+    """The index of a slice, for its tasks: a worker makes it once."""
+    key = ("benchmark", zlib.crc32("\0".join(str(name) for name, _ in rows).encode()), len(rows), at_least)
+    return lambda: worker_object(key, lambda: Benchmark(rows, at_least=at_least))
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                  item_col: str = "item_id", item_text_col: str = "text", at_least: float = SIMILARITY,
                  slice_bytes: int = SLICE_BYTES) -> DataFrame:
@@ -210,8 +217,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     columns are not read.
     """
     def searcher(rows: list[tuple[int | str, str]]):
+        made = indexed(rows, at_least)
+
         def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            index = Benchmark(rows, at_least=at_least)
+            index = made()
             for batch in batches:
                 found = [(d, *hit) for d, text in zip(batch["doc_id"], batch["text"]) for hit in index.find(text)]
                 yield pd.DataFrame(found, columns=["doc_id", "name", "start_word", "n_words", "similarity"])
@@ -232,8 +241,10 @@ def is_clean(benchmark: DataFrame, text: Column, item_col: str = "item_id", item
              at_least: float = SIMILARITY, slice_bytes: int = SLICE_BYTES) -> Column:
     """Boolean column: the text holds no benchmark item (null and empty texts are clean)."""
     def checker(rows: list[tuple[int | str, str]]):
+        made = indexed(rows, at_least)
+
         def check(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            index = Benchmark(rows, at_least=at_least)
+            index = made()
             for batch in texts:
                 yield pd.Series([not index.find(t) for t in batch], dtype=bool)
 
