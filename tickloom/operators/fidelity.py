@@ -168,7 +168,7 @@ def event_recall(df: DataFrame, by: Sequence[str] = KEYS, share: float = 0.05) -
 def sampling_quality(df: DataFrame, by: Sequence[str] = KEYS) -> DataFrame:
     """Peak recalls, causal error and event recall in one row per key."""
     by = list(by)
-    ranked = reuse(peak_ranks(hold_last(df, by), by))
+    ranked = reuse(peak_ranks(hold_last(df, by), by), by)
     recalls, causal = _recalls(PEAK_SHARES), _rmse(by, "held", "causal")
     return ranked.groupBy(*by).agg(*recalls, *causal).join(event_recall(ranked, by), by)
 
@@ -177,7 +177,7 @@ def mask_report(df: DataFrame, by: Sequence[str]) -> DataFrame:
     """Ratio, largest gap, causal error and peak recalls of masks, from one pass over the rows."""
     by = list(by)
     wide = peak_ranks(hold_last(_gap(df, by), by), by)
-    out = reuse(wide).groupBy(*by).agg(
+    out = reuse(wide, by).groupBy(*by).agg(
         F.count(F.lit(1)).alias("__n"), F.avg(F.when(F.col("sampled"), 1.0).otherwise(0.0)).alias("sample_ratio"),
         F.max("gap").alias("__gap"), *_rmse(by, "held", "causal"), *_recalls(PEAK_SHARES))
     rest = [c for c in out.columns if c not in (*by, "__n", "__gap", "sample_ratio")]
@@ -235,12 +235,12 @@ def info_loss(dense: DataFrame, kept: DataFrame, dense_by: Sequence[str] = KEYS,
     All columns are added along one chain, so the replay below is run once.
     """
     by = list(by)
-    tracks = peak_ranks(_gap(compare_tracks(reuse(dense), reuse(kept), dense_by, by), by), by)
+    tracks = peak_ranks(_gap(compare_tracks(reuse(dense, dense_by), reuse(kept, by), dense_by, by), by), by)
     stats, points = _track_stats(by)
     more, gaps, final = _efficiency(by)
     top = F.col("peak_rank") <= F.greatest(F.lit(1), F.floor(F.col("n_ticks") / 20))
     recall = F.avg(F.when(top, _flag(F.col("sampled")))).alias("peak_recall_top5")
-    report = group_stats(reuse(tracks), by, [*more, *stats, recall], {**gaps, **points})
+    report = group_stats(reuse(tracks, by), by, [*more, *stats, recall], {**gaps, **points})
     names = ["mae_mean", "rmse_mean", "nrmse_mean", "max_mean_error", *points, "correlation", "raw_recon_rmse",
              "raw_recon_nrmse", "peak_recall_top5", "mae_std", "rmse_std", "coverage_3sigma"]
     return report.select(*by, *final, *names)

@@ -369,9 +369,11 @@ def replay(
         return {c: ends(kernel, values, side, configs[int(c)], given, multiple > 1) for c, given in starts.items()}
 
     multiple = piece_multiple(policy, configs)
-    schema = T.StructType([trace.schema[k] for k in by] + _OUT)
+    noted = trace.schema["tick"].metadata
+    out = [T.StructField(f.name, f.dataType, True, noted) if f.name == "tick" else f for f in _OUT]
+    schema = T.StructType([trace.schema[k] for k in by] + out)
     played = sequential(rows, [*by, "__block"], "tick", step, schema,
-                        is_small(trace) if small is None else small,
+                        is_small(trace, by) if small is None else small,
                         multiple, Fan(guess, run))
     status = F.element_at(F.array(*[F.lit(s) for s in K.STATUS_NAMES]), F.col("__status") + 1)
     return played.select(
@@ -391,7 +393,8 @@ def masked_replay(trace: DataFrame, config: Mapping[str, object], mask: str = "s
     side = [F.col(mask).alias("mask"), F.col(interval).cast("int").alias("interval")]
     if urgency is not None:
         side.append(F.col(urgency).cast("double").alias("urgency"))
-    rows = trace.select(*by, F.col("tick").cast("long"), F.col("value").cast("double"), *side)
+    tick = F.col("tick").cast("long").alias("tick", metadata=trace.schema["tick"].metadata)
+    rows = trace.select(*by, tick, F.col("value").cast("double"), *side)
     aux = ("mask", "interval", "urgency")[: len(side)]
     read = F.coalesce(F.col("mask").cast("boolean"), F.lit(False))
     played = replay(rows.where(read), [config], "masked", by, aux, small)
