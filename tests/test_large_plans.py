@@ -103,3 +103,19 @@ def test_percentiles_of_a_written_summary(large, noisy):
     points = {"p25": 0.25, "p95": 0.95}
     close(rows_of(sc.percentiles(noisy, ["series_id"], F.col("value"), points)),
           rows_of(sc.percentiles(noisy, ["series_id"], F.col("value"), points, small=True)))
+
+
+def test_short_series_replay_together(spark):
+    """Many series of a few ticks in one task, NULL keys among them, equal to one replay a series."""
+    keys = [(None if s % 50 == 7 else s, s % 3) for s in range(400)]
+    rows = [(k, r, i, float((i * 37 + (k or 0)) % 53)) for k, r in sorted(set(keys), key=str) for i in range(12)]
+    df = spark.createDataFrame(rows, "k long, r long, tick long, value double").coalesce(1)
+    config = make_config(outlier_threshold=3.0)
+    got = replay(df, [config], by=["k", "r"], small=True)
+    assert "MapInArrow" in plan(got)
+    assert got.count() == len(rows) and got.groupBy("k", "r").count().where("count != 12").isEmpty()
+    for k, r in ((None, 0), (None, 1), (5, 2)):
+        mine = F.col("k").eqNullSafe(F.lit(k)) & (F.col("r") == r)
+        alone = replay(df.where(mine).drop("k"), [config], by=["r"], small=True)
+        fill = lambda d: rows_of(d.select(*alone.columns).na.fill(-1.0).na.fill("-"))
+        assert fill(got.where(mine)) == fill(alone)

@@ -29,6 +29,7 @@ from collections.abc import Callable, Iterator, Mapping, Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -40,6 +41,7 @@ from tickloom.operators.starts import TAIL, ends, guesses, written_state
 from tickloom.session import chunk_ticks, cut, is_small
 
 CONFIGS_PER_TASK = 8
+BATCH_ROWS = 8192  # rows of short series that leave a task together
 ROUNDS = 1
 MAP_ROUNDS = 3  # rounds of start maps; each goes on from the first piece whose start was among no candidates
 PREFIX = 256  # pieces whose maps are composed in one group
@@ -78,10 +80,21 @@ def sequential(rows: DataFrame, by: Sequence[str], position: str, step: Step, sc
     """
     by = list(by)
     if small:
-        def whole(key, table):
-            return step([k.as_py() for k in key], table.sort_by(position), None)[0]
-
-        return rows.groupBy(*by).applyInArrow(whole, schema)
+        names = [f.name for f in schema]
+
+        def whole(batches):
+            # many series may have a few ticks each, so their results travel together
+            results, held = [], 0
+            for piece in pieces(batches, by):
+                result, _ = step(list(piece.select(by).slice(0, 1).to_pylist()[0].values()), piece.sort_by(position), None)
+                results, held = [*results, result.select(names)], held + result.num_rows
+                if held >= BATCH_ROWS:
+                    yield from pa.concat_tables(results).combine_chunks().to_batches()
+                    results, held = [], 0
+            if results:
+                yield from pa.concat_tables(results).combine_chunks().to_batches()
+
+        return rows.repartition(*by).sortWithinPartitions(*by).mapInArrow(whole, schema)
 
     size = -(-chunk_ticks(rows.sparkSession) // multiple) * multiple
     keys = by + ["__piece"]
@@ -290,9 +303,11 @@ def pieces(batches, keys: list[str]):
         if not batch.num_rows:
             continue
         marks = np.zeros(batch.num_rows, bool)
-        for k in keys:
-            column = batch.column(batch.schema.get_field_index(k)).to_numpy(zero_copy_only=False)
-            marks[1:] |= column[1:] != column[:-1]
+        for k in keys:  # NULL keys are one series, as in a grouping
+            column = batch.column(batch.schema.get_field_index(k))
+            here, last = column.slice(1), column.slice(0, batch.num_rows - 1)
+            odd = pc.coalesce(pc.not_equal(here, last), pc.xor(pc.is_null(here), pc.is_null(last)))
+            marks[1:] |= odd.to_numpy(zero_copy_only=False)
         cuts = [0, *np.flatnonzero(marks).tolist(), batch.num_rows]
         ends = lambda b, i: [b.column(b.schema.get_field_index(k))[i].as_py() for k in keys]
         for a, b in zip(cuts, cuts[1:]):
