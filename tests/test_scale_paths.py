@@ -129,3 +129,49 @@ def test_masked_replay_leaves_unread_ticks_out(chunked, noisy, urgency):
         got = masked_replay(rows, make_config(), urgency=urgency, small=small)
         assert got.columns == every.columns and [t for _, t in got.dtypes] == [t for _, t in every.dtypes]
         close(rows_of(got.na.fill(-1.0).na.fill("-")), rows_of(every.na.fill(-1.0).na.fill("-")))
+
+
+@pytest.fixture
+def event_folder(spark, tmp_path):
+    """Events of a few types and users, written as a table."""
+    rng = random.Random(7)
+    rows = [(i, i // 3, i % 5, rng.choice(["click", "view", "error"]), rng.uniform(1, 90)) for i in range(400)]
+    df = spark.createDataFrame(rows, "event_id long, s long, user_id long, event_type string, value double")
+    df.select("event_id", F.timestamp_seconds("s").alias("ts"), "user_id", "event_type", "value").write.parquet(
+        str(tmp_path / "events.parquet"))
+    return str(tmp_path)
+
+
+@pytest.mark.parametrize("name", ["ctr01_busy_percent", "ctr05_cgroup_cpu_fraction", "ctr09_interval_accounting",
+                                  "ctr09_rejected_intervals", "ctr11_process_cpu"])
+def test_only_the_numbering_of_counters_samples_ranges(spark, event_folder, monkeypatch, name):
+    """Differences of numbered snapshots are cut by tick: no second range sample, and equal rows."""
+    from tickloom.plans import load_all
+    from tickloom.plans.registry import QUERIES
+
+    load_all()
+    run = lambda: sorted(map(tuple, QUERIES[name](spark, event_folder).collect()), key=lambda r: r[:2])
+    one = run()
+    calls, plain = [], sc.range_chunks
+    monkeypatch.setattr(sc, "range_chunks", lambda *a: calls.append(a) or plain(*a))
+    spark.conf.set("spark.tickloom.path", "chunked")
+    spark.conf.set("spark.tickloom.chunkTicks", "50")
+    try:
+        many = run()
+    finally:
+        spark.conf.set("spark.tickloom.path", "auto")
+        spark.conf.unset("spark.tickloom.chunkTicks")
+    assert len(calls) == 1
+    close(one, many)
+
+
+def test_renamed_short_series_stay_short(spark, event_folder):
+    """Counters of many short control groups are scanned by one window per group, whatever their number."""
+    from tickloom.plans.counters import cgroups
+    from tickloom.session import is_short
+
+    spark.conf.set("spark.tickloom.smallInputBytes", "1")
+    try:
+        assert is_short(cgroups(spark, event_folder), ["cgroup"])
+    finally:
+        spark.conf.unset("spark.tickloom.smallInputBytes")

@@ -19,10 +19,10 @@ def with_deltas(df: DataFrame, by: Sequence[str], order: str, columns: Sequence[
     return wide.select(*df.columns, *[(F.col(c) - F.col(f"__p_{c}")).alias(f"d_{c}") for c in columns])
 
 
-def busy_percent(df: DataFrame, by: Sequence[str], order: str) -> DataFrame:
+def busy_percent(df: DataFrame, by: Sequence[str], order: str, position: str | None = None) -> DataFrame:
     """CPU busy share from ``total, idle, iowait`` counters; 0 when nothing elapsed."""
     snap = df.withColumn("__idle", F.col("idle") + F.col("iowait"))
-    d = with_deltas(snap, by, order, ["total", "__idle"])
+    d = with_deltas(snap, by, order, ["total", "__idle"], position)
     busy = F.when(F.col("d_total") == 0, F.lit(0.0)).otherwise(
         (F.lit(1.0) - safe_div(F.col("d___idle"), F.col("d_total"))) * 100.0)
     return d.withColumn("busy_pct", busy).drop("__idle", "d_total", "d___idle")
@@ -44,9 +44,10 @@ def summed_rate(df: DataFrame, by: Sequence[str], order: str, seconds: Column, a
     return d.select(*by, order, rate.alias("rate"))
 
 
-def cpu_fraction(df: DataFrame, by: Sequence[str], order: str, usage_us: str, seconds: str) -> DataFrame:
+def cpu_fraction(df: DataFrame, by: Sequence[str], order: str, usage_us: str, seconds: str,
+                 position: str | None = None) -> DataFrame:
     """Cores used: d(usage us) / 1e6 / d(seconds); may exceed one."""
-    d = with_deltas(df, by, order, [usage_us, seconds])
+    d = with_deltas(df, by, order, [usage_us, seconds], position)
     rate = F.when(F.col(f"d_{seconds}") <= 0, F.lit(0.0)).otherwise(
         safe_div(F.col(f"d_{usage_us}") / 1e6, F.col(f"d_{seconds}")))
     return d.withColumn("cpu_fraction", rate).drop(f"d_{usage_us}", f"d_{seconds}")
@@ -69,13 +70,14 @@ def fleet_cpu(df: DataFrame, member: str, at: str, usage_us: str, seconds: str)
         F.sum("__pct").alias("cpu_pct"), F.grouping(at).alias("__all")).where(F.col("__all") == 0).drop("__all")
 
 
-def interval_accounting(df: DataFrame, by: Sequence[str], order: str) -> tuple[DataFrame, DataFrame]:
+def interval_accounting(df: DataFrame, by: Sequence[str], order: str,
+                        position: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Host, own and foreign busy share per interval, and the rejected intervals.
 
     Needs ``total, busy, own, identity`` counters; an interval with a counter that runs
     backwards, no elapsed total, or another identity is rejected.
     """
-    wide = scan(df, by, [order], {f"__p_{c}": previous(F.col(c)) for c in ("total", "busy", "own", "identity")})
+    wide = scan(df, by, [order], {f"__p_{c}": previous(F.col(c)) for c in ("total", "busy", "own", "identity")}, position)
     d = lambda c: F.col(c) - F.col(f"__p_{c}")
     seen = wide.where(F.col("__p_total").isNotNull())
     bad = (d("total") <= 0) | (d("busy") < 0) | (d("own") < 0) | (F.col("identity") != F.col("__p_identity"))
@@ -98,7 +100,7 @@ def sustained(df: DataFrame, by: Sequence[str], tick: str, over: Column, k: int)
     return out if tick == "tick" else out.withColumnRenamed("tick", tick)
 
 
-def process_cpu(df: DataFrame, by: Sequence[str], order: str) -> DataFrame:
+def process_cpu(df: DataFrame, by: Sequence[str], order: str, position: str | None = None) -> DataFrame:
     """CPU percent and cumulative seconds of a process from ``user_s, system_s, total_s, wall_s``.
 
     A missing total is user + system; a missing user share is the whole total, a
@@ -107,7 +109,7 @@ def process_cpu(df: DataFrame, by: Sequence[str], order: str) -> DataFrame:
     zero = F.lit(0.0)
     total = F.coalesce("total_s", F.col("user_s") + F.col("system_s"))
     filled = df.withColumn("__total", total)
-    d = with_deltas(filled, by, order, ["__total", "wall_s"])
+    d = with_deltas(filled, by, order, ["__total", "wall_s"], position)
     used = F.greatest(zero, F.col("d___total"))
     pct = F.greatest(zero, used / F.greatest(F.col("d_wall_s").cast("double"), F.lit(1e-9)) * 100.0)
     user = F.coalesce("user_s", F.greatest(F.col("__total"), zero))

@@ -11,6 +11,7 @@ from tickloom.plans.fidelity import rounded
 from tickloom.plans.inputs import HOUR, SEC, events, hour_of, sec_of
 from tickloom.plans.registry import q6, query
 from tickloom.plans.sqltext import EVENTS, USERS
+from tickloom.session import is_short, mark_short
 from tickloom.sources.json_traces import tick_spine
 from tickloom.sources.tables import event_trace, user_trace
 
@@ -36,7 +37,7 @@ def snapshots(spark, d):
 SELECT series_id, tick, {q6('CASE WHEN dt IS NULL THEN NULL WHEN dt = 0 THEN 0.0 ELSE (1.0 - di / dt::DOUBLE) * 100 END')} AS busy_pct FROM (
   SELECT *, total - lag(total) OVER w AS dt, (idle + iowait) - lag(idle + iowait) OVER w AS di FROM snaps WINDOW w AS (PARTITION BY series_id ORDER BY tick))""")
 def ctr01(spark, d):
-    return ct.busy_percent(snapshots(spark, d), ["series_id"], "tick").select("series_id", "tick", r6("busy_pct").alias("busy_pct"))
+    return ct.busy_percent(snapshots(spark, d), ["series_id"], "tick", "tick").select("series_id", "tick", r6("busy_pct").alias("busy_pct"))
 
 
 @query("ctr02_memory_gauge", f"""SELECT event_id, {q6("(1.0 - (CASE WHEN event_type = 'error' THEN value / 2 ELSE value END) / 500.0) * 100")} AS used_pct FROM events""")
@@ -86,15 +87,16 @@ CGROUP = f"""{USERS}, snaps AS (
 
 def cgroups(spark, d):
     t = user_trace(spark, d).withColumn("us", F.rint(F.col("value") * 1e6).cast("long"))
-    return scan(t, ["series_id"], ["tick"], {"usage_us": running_sum(F.col("us"))}, "tick").select(
+    c = scan(t, ["series_id"], ["tick"], {"usage_us": running_sum(F.col("us"))}, "tick").select(
         F.col("series_id").alias("cgroup"), "tick", sec_of("ts").alias("sec"), "usage_us")
+    return mark_short(c, ["cgroup"]) if is_short(t, ["series_id"]) else c  # the note names the key it was counted by
 
 
 @query("ctr05_cgroup_cpu_fraction", f"""WITH {CGROUP}
 SELECT cgroup, tick, {q6('CASE WHEN ds <= 0 THEN 0.0 ELSE du / 1e6 / ds END')} AS cpu_fraction FROM (
   SELECT *, usage_us - lag(usage_us) OVER w AS du, sec - lag(sec) OVER w AS ds FROM snaps WINDOW w AS (PARTITION BY cgroup ORDER BY tick))""")
 def ctr05(spark, d):
-    return ct.cpu_fraction(cgroups(spark, d), ["cgroup"], "tick", "usage_us", "sec").select(
+    return ct.cpu_fraction(cgroups(spark, d), ["cgroup"], "tick", "usage_us", "sec", "tick").select(
         "cgroup", "tick", r6("cpu_fraction").alias("cpu_fraction"))
 
 
@@ -136,7 +138,7 @@ j AS (SELECT *, dt <= 0 OR db < 0 OR dw < 0 OR changed AS bad FROM d WHERE dt IS
 def accounting(spark, d):
     s = snapshots(spark, d).select("series_id", "tick", "total", (F.col("total") - F.col("idle")).alias("busy"),
                                    F.col("iowait").alias("own"), F.expr("tick div 500").alias("identity"))
-    return ct.interval_accounting(s, ["series_id"], "tick")
+    return ct.interval_accounting(s, ["series_id"], "tick", "tick")
 
 
 @query("ctr09_interval_accounting", f"""WITH {ACCT}
@@ -174,4 +176,4 @@ def ctr11(spark, d):
     s, k = F.col("usage_us") / 1e6, F.col("tick") % 5
     p = c.select("cgroup", "tick", F.when(k < 4, s * 0.75).alias("user_s"), F.when(k < 4, s * 0.25).alias("system_s"),
                  F.when(k > 2, s).alias("total_s"), F.col("sec").alias("wall_s"))
-    return rounded(ct.process_cpu(p, ["cgroup"], "tick"))
+    return rounded(ct.process_cpu(p, ["cgroup"], "tick", "tick"))
