@@ -70,6 +70,19 @@ def test_array_files_in_byte_ranges(spark, tmp_path, plan, split):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
+def test_pieces_are_ranged_once_and_carry_no_path(chunked, tmp_path, monkeypatch):
+    from tickloom.operators import scans
+
+    for n in range(2):
+        (tmp_path / f"f{n}.json").write_text(json.dumps([{"v": i, "t": "a, [\\ \"{"} for i in range(60 + n)]))
+    seen, plain = [], scans.range_chunks
+    monkeypatch.setattr(scans, "range_chunks", lambda df, *a: seen.append(df.columns) or plain(df, *a))
+    got = jf.read_json_trace(chunked, str(tmp_path), "v").orderBy("file", "tick").collect()
+    assert [r.value for r in got] == [*map(float, range(60)), *map(float, range(61))]
+    assert len({r.file for r in got}) == 2
+    assert len(seen) == 1 and "file" not in seen[0]
+
+
 def test_one_line_array_is_read_by_many_tasks(spark, tmp_path):
     path = str(tmp_path / "line.json")
     with open(path, "w") as f:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tickloom.functions.numeric import finite
 from tickloom.operators.scans import number_rows, running_sum, scan
+from tickloom.session import cut
 from tickloom.sources.json_traces import first_numeric
 
 HEAD_PIECES = 1 << 16  # pieces of a file's head that the detection of a field may fetch
@@ -26,6 +27,12 @@ def _pieces(spark: SparkSession, path: str | list[str]) -> DataFrame:
         F.monotonically_increasing_id().alias("__id"), F.col("value").alias("__text"))
 
 
+def _file_ids(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """``file, __file``: a number for every file, from the listing alone (no content is read)."""
+    names = spark.read.format("binaryFile").load(path).select(F.col("_metadata.file_path").alias("file")).distinct()
+    return cut(names.withColumn("__file", F.monotonically_increasing_id()))
+
+
 def _count(text: Column, marks: str) -> Column:
     return F.length(text) - F.length(F.translate(text, marks, ""))
 
@@ -36,27 +43,32 @@ def read_array_elements(spark: SparkSession, path: str, max_elements: int = 0) -
     One level of wrapping is removed: of ``[[a, b], …]`` the elements are those of the first inner array. A file
     whose text is no array, and an empty array, give no row; files may be compressed (those cannot be split).
     """
-    rows = number_rows(_pieces(spark, path), ["file"], ["__start", "__id"], "__at").drop("__start", "__id")
-    bare = F.regexp_replace("__text", r"(?s)\\.", "")  # an escape never reaches across a comma
-    rows = scan(rows, ["file"], ["__at"], {"__quotes": running_sum(_count(bare, '"'), inclusive=False)})
+    files = _file_ids(spark, path)  # pieces are short: a number is moved with them instead of a long path
+    pieces = _pieces(spark, path).join(F.broadcast(files), "file").drop("file")  # one row per file of the listing
+    rows = number_rows(pieces, ["__file"], ["__start", "__id"], "__at").drop("__start", "__id")
+    text = F.col("__text")
+    # an escape never reaches across a comma
+    bare = F.when(F.contains(text, F.lit("\\")), F.regexp_replace(text, r"(?s)\\.", "")).otherwise(text)
+    rows = scan(rows, ["__file"], ["__at"], {"__quotes": running_sum(_count(bare, '"'), inclusive=False)}, "__at")
     inside = F.coalesce(F.col("__quotes"), F.lit(0)) % 2 == 1
-    rest = F.regexp_replace(F.concat(F.when(inside, '"').otherwise(""), bare), '"[^"]*("|$)', "")
+    unquoted = F.regexp_replace(F.concat(F.when(inside, '"').otherwise(""), bare), '"[^"]*("|$)', "")
+    rest = F.when(inside | F.contains(bare, F.lit('"')), unquoted).otherwise(bare)
     first = F.col("__at") == 0
     rows = rows.withColumn("__inside", inside).withColumn("__rest", rest).withColumns({
         "__step": _count(F.col("__rest"), "[{") - _count(F.col("__rest"), "]}"),
         "__opens": F.when(first & F.col("__rest").rlike(r"^\s*\[\s*\["), 2).when(first & F.col("__rest").rlike(r"^\s*\["), 1).otherwise(0),
     }).drop("__rest", "__quotes")
-    rows = scan(rows, ["file"], ["__at"], {"__depth": running_sum(F.col("__step"), inclusive=False)})
+    rows = scan(rows, ["__file"], ["__at"], {"__depth": running_sum(F.col("__step"), inclusive=False)}, "__at")
     border = lambda depth: (~F.col("__inside") & ~first & (F.col("__depth") == depth)).cast("long")
-    rows = scan(rows, ["file"], ["__at"], {
-        "__outer": running_sum(border(1)), "__inner": running_sum(border(2)), "__base": running_sum(F.col("__opens"))})
+    rows = scan(rows, ["__file"], ["__at"], {
+        "__outer": running_sum(border(1)), "__inner": running_sum(border(2)), "__base": running_sum(F.col("__opens"))}, "__at")
     wrapped = F.col("__base") == 2
     rows = rows.where((F.col("__base") > 0) & (~wrapped | (F.col("__outer") == 0))).withColumn(
         "tick", F.when(wrapped, F.col("__inner")).otherwise(F.col("__outer")))
     if max_elements > 0:
         rows = rows.where(F.col("tick") < max_elements)
     end = F.coalesce("__depth", F.lit(0)) + F.col("__step")
-    whole = rows.groupBy("file", "tick").agg(
+    whole = rows.groupBy("__file", "tick").agg(
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("__at", "__text"))), lambda p: p["__text"]), ",").alias("__whole"),
         F.max("__base").alias("__base"), F.max_by(F.col("__base") - end, "__at").alias("__closed"))
     # the brackets of the array itself belong to its first and last element
@@ -66,7 +78,8 @@ def read_array_elements(spark: SparkSession, path: str, max_elements: int = 0) -
     closed = F.when(F.col("__closed") >= 2, F.regexp_replace("__whole", r"\]\s*\]\s*$", "")).when(
         F.col("__closed") == 1, F.regexp_replace("__whole", r"\]\s*$", "")).otherwise(F.col("__whole"))
     element = F.regexp_replace(closed, r"^\s+|\s+$", "")
-    return whole.select("file", "tick", element.alias("element")).where(F.col("element") != "")
+    return whole.select("__file", "tick", element.alias("element")).where(F.col("element") != "").join(
+        F.broadcast(files), "__file").select("file", "tick", "element")
 
 
 def detect_file_field(spark: SparkSession, path: str) -> str | None:
