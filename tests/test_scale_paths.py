@@ -175,3 +175,40 @@ def test_renamed_short_series_stay_short(spark, event_folder):
         assert is_short(cgroups(spark, event_folder), ["cgroup"])
     finally:
         spark.conf.unset("spark.tickloom.smallInputBytes")
+
+
+@pytest.mark.parametrize("path", ["single", "chunked"])
+def test_phases_share_a_scan(spark, path):
+    """Phases of a budget, eight masks to a row, are reported as one by one; values may be NULL."""
+    from tickloom.operators.sweep import phase_masks
+
+    rng = random.Random(5)
+    rows = [(s, t, None if t % 5 == 3 or s == "b" and t < 9 else rng.gauss(0, 9)) for s in "abc" for t in range(90)]
+    trace = spark.createDataFrame(rows, "series_id string, tick long, value double").repartition(5)
+    budgets = spark.createDataFrame([("a", 3, 19), ("b", 1, 8), ("c", None, None)], "series_id string, n int, m int")
+    keys = ["series_id", "variant"]
+    spark.conf.set("spark.tickloom.path", path)
+    spark.conf.set("spark.tickloom.chunkTicks", "20")
+    try:
+        alone = phase_masks(trace, budgets, ["series_id"]).withColumn("variant", F.col("phase")).drop("n", "m", "phase")
+        blocks = phase_masks(fd.peak_ranks(trace, ["series_id"]), budgets, ["series_id"], 8).withColumn("variant", F.col("phase"))
+        one, many = rows_of(fd.mask_report(alone, keys)), rows_of(fd.mask_report(blocks, keys, 8))
+    finally:
+        spark.conf.set("spark.tickloom.path", "auto")
+        spark.conf.unset("spark.tickloom.chunkTicks")
+    assert len(one) == 27
+    close(one, many)
+
+
+def test_two_pass_scans_no_row_per_phase(spark, monkeypatch):
+    """A budget of many phases multiplies the scanned rows by an eighth of their number only."""
+    from tickloom.operators import sweep as sw
+
+    rng = random.Random(8)
+    trace = spark.createDataFrame([("s", t, rng.gauss(50, 4)) for t in range(600)], "series_id string, tick long, value double")
+    scanned, plain = [], fd.scan
+    monkeypatch.setattr(fd, "scan", lambda df, *a, **k: scanned.append(df.count()) or plain(df, *a, **k))
+    report = sw.two_pass(trace, make_config(), policies=("time_or_variation",), tolerance=0.0005).collect()
+    phases = sum(r["method"] == "budget_matched" for r in report)
+    assert phases > 24 and len(report) == phases + 3
+    assert sum(scanned) <= 600 * (3 + math.ceil(phases / 8))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tickloom.functions.numeric import descending, safe_corr, safe_div
 from tickloom.operators.reconstruct import KEYS, hold_last, interpolate
-from tickloom.operators.scans import group_stats, last_known, number_rows, previous, running_sum, scan, with_size
+from tickloom.operators.scans import group_stats, last_known, next_known, number_rows, previous, running_sum, scan, with_size
 from tickloom.session import reuse
 
 # Shares of the largest magnitudes that count as peaks.
@@ -89,10 +89,10 @@ def causal_error(df: DataFrame, by: Sequence[str] = KEYS) -> DataFrame:
     return error_rmse(hold_last(df, by), by, "held", "causal")
 
 
-def peak_ranks(df: DataFrame, by: Sequence[str] = KEYS) -> DataFrame:
+def peak_ranks(df: DataFrame, by: Sequence[str] = KEYS, small: bool | None = None) -> DataFrame:
     """Adds ``peak_rank`` (1 = largest magnitude, ties by tick) and ``n_ticks``."""
-    ranked = number_rows(df, by, [descending(F.abs("value")), F.col("tick")], "__rank")
-    return with_size(ranked, by, "n_ticks").withColumn("peak_rank", F.col("__rank") + 1).drop("__rank")
+    ranked = number_rows(df, by, [descending(F.abs("value")), F.col("tick")], "__rank", small)
+    return with_size(ranked, by, "n_ticks", small).withColumn("peak_rank", F.col("__rank") + 1).drop("__rank")
 
 
 def top_count(share: float, n: Column) -> Column:
@@ -105,8 +105,8 @@ def peak_recall(df: DataFrame, by: Sequence[str] = KEYS,
     return _ranked(df, by).groupBy(*by).agg(*_recalls(shares))
 
 
-def _ranked(df: DataFrame, by: Sequence[str]) -> DataFrame:
-    return df if "peak_rank" in df.columns else peak_ranks(df, by)
+def _ranked(df: DataFrame, by: Sequence[str], small: bool | None = None) -> DataFrame:
+    return df if "peak_rank" in df.columns else peak_ranks(df, by, small)
 
 
 def _recalls(shares: Sequence[float]) -> list[Column]:
@@ -173,11 +173,30 @@ def sampling_quality(df: DataFrame, by: Sequence[str] = KEYS) -> DataFrame:
     return ranked.groupBy(*by).agg(*recalls, *causal).join(event_recall(ranked, by), by)
 
 
-def mask_report(df: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Ratio, largest gap, causal error and peak recalls of masks, from one pass over the rows."""
+def mask_report(df: DataFrame, by: Sequence[str], together: int = 0, small: bool | None = None) -> DataFrame:
+    """Ratio, largest gap, causal error and peak recalls of masks, from one scan over the rows.
+
+    Ranks that the rows bring along are used. With ``together``, ``sampled`` is an array of at most so many masks, whose
+    first is that of the last column of ``by``, an integer; the others count on from it. Rows are multiplied only for partial sums.
+    """
     by = list(by)
-    wide = peak_ranks(hold_last(_gap(df, by), by), by)
-    out = reuse(wide, by).groupBy(*by).agg(
+    masks = {f"__m{i}": F.get("sampled", F.lit(i)) for i in range(together)} or {"__m0": F.col("sampled")}
+    specs = {}
+    for n, mask in masks.items():
+        seen = F.when(mask, F.col("value"))
+        specs |= {f"__last{n}": last_known(seen), f"__next{n}": next_known(seen),
+                  f"__prev{n}": last_known(F.when(mask, F.col("tick")), inclusive=False)}
+    wide = _ranked(scan(df, by, ["tick"], specs, "tick", small), by, small)
+    found = [F.struct(
+        F.lit(i).alias("__i"), mask.alias("sampled"), F.when(mask, F.col("tick") - F.col(f"__prev{n}")).alias("gap"),
+        F.coalesce(f"__last{n}", f"__next{n}").alias("held")) for i, (n, mask) in enumerate(masks.items())]
+    shared = [*by, "value", "peak_rank", "n_ticks"]
+    if together:
+        rows = wide.select(*shared, F.explode(F.array(*found)).alias("__r")).select(*shared, "__r.*").where(F.col("sampled").isNotNull())
+        rows = rows.withColumn(by[-1], F.col(by[-1]) + F.col("__i"))
+    else:
+        rows = wide.select(*shared, found[0].alias("__r")).select(*shared, "__r.*")
+    out = rows.groupBy(*by).agg(
         F.count(F.lit(1)).alias("__n"), F.avg(F.when(F.col("sampled"), 1.0).otherwise(0.0)).alias("sample_ratio"),
         F.max("gap").alias("__gap"), *_rmse(by, "held", "causal"), *_recalls(PEAK_SHARES))
     rest = [c for c in out.columns if c not in (*by, "__n", "__gap", "sample_ratio")]

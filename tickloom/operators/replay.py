@@ -38,7 +38,7 @@ from tickloom.operators import kernels as K
 from tickloom.operators.masks import n_of_m, n_of_m_interval
 from tickloom.operators.policies import POLICIES, piece_multiple, policy_config
 from tickloom.operators.starts import TAIL, ends, guesses, written_state
-from tickloom.session import chunk_ticks, cut, is_small
+from tickloom.session import chunk_ticks, cut, is_small, task_count
 
 CONFIGS_PER_TASK = 8
 BATCH_ROWS = 8192  # rows of short series that leave a task together
@@ -94,7 +94,7 @@ def sequential(rows: DataFrame, by: Sequence[str], position: str, step: Step, sc
             if results:
                 yield from pa.concat_tables(results).combine_chunks().to_batches()
 
-        return rows.repartition(*by).sortWithinPartitions(*by).mapInArrow(whole, schema)
+        return rows.repartition(task_count(rows), *by).sortWithinPartitions(*by).mapInArrow(whole, schema)
 
     size = -(-chunk_ticks(rows.sparkSession) // multiple) * multiple
     keys = by + ["__piece"]

@@ -8,15 +8,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.functions.numeric import descending
-from tickloom.operators.fidelity import info_loss, mask_report, running_ratio
+from tickloom.operators.fidelity import info_loss, mask_report, peak_ranks, running_ratio
 from tickloom.operators.masks import fixed_interval, n_of_m, shortest_period, thin_evenly
 from tickloom.operators.replay import replay
 from tickloom.operators.scans import group_stats, percentiles, running_max, running_min, scan, with_size
 from tickloom.params import MAPPING_ABLATION, config_frame, config_label, make_config
-from tickloom.session import cut, reuse
+from tickloom.session import cut, is_small
 
 # Parameters that change the dense tracker itself.
 TRACKER_PARAMS = ("alpha_base", "beta", "outlier_threshold", "drift_tolerance", "initial_variance_floor")
+PHASES_TOGETHER = 8  # phases of a budget that one row of a scan holds
 # Sweep metrics for which more is better.
 HIGHER_IS_BETTER = ("peak_recall_top5", "correlation", "coverage_3sigma", "recall_top5")
 
@@ -60,11 +61,19 @@ def interval_profiles(played: DataFrame, by: Sequence[str], points: int) -> Data
     return thin_evenly(wide, F.col("__n"), points, F.col("tick")).select(*by, "tick", "interval", "ratio_so_far")
 
 
-def phase_masks(trace: DataFrame, budgets: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Every phase of each series' n-of-m budget as a mask (m is at most the period limit)."""
+def phase_masks(trace: DataFrame, budgets: DataFrame, by: Sequence[str], together: int = 0) -> DataFrame:
+    """Every phase of each series' n-of-m budget as a mask (m is at most the period limit).
+
+    With ``together``, a row holds an array of so many masks (the last one of a series fewer), from that of ``phase`` on.
+    """
     plans = budgets.where(F.col("m").isNotNull()).select(*by, "n", "m")
-    phased = trace.join(plans, list(by)).withColumn("phase", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
-    return phased.withColumn("sampled", n_of_m(F.col("tick"), F.col("n"), F.col("m"), F.col("phase")))
+    phased = trace.join(plans, list(by)).withColumn(
+        "phase", F.explode(F.sequence(F.lit(0), F.col("m") - 1, F.lit(together or 1))))
+    mask = lambda phase: n_of_m(F.col("tick"), F.col("n"), F.col("m"), phase)
+    if together:
+        last = F.least(F.col("phase") + together, F.col("m")) - 1
+        return phased.withColumn("sampled", F.transform(F.sequence(F.col("phase"), last), mask))
+    return phased.withColumn("sampled", mask(F.col("phase")))
 
 
 def budget_comparison(trace: DataFrame, config: dict, by: Sequence[str] = ("series_id",),
@@ -86,19 +95,30 @@ def two_pass(trace: DataFrame, config: dict, by: Sequence[str] = ("series_id",),
     """Adaptive, fixed-interval, budget-matched and literature samplers in one table."""
     by = list(by)
     methods = by + ["method", "variant"]
-    adaptive = cut(replay(trace, [config], "urgency_adaptive", by))  # read twice: as a mask, and for the budgets
+    small = is_small(trace, by)  # a scan below holds no more rows of a key than the trace has
+    # All masks are over the same ticks. Peaks are ranked once a series and written, as every sampler reads these rows.
+    ranked = cut(peak_ranks(trace.select(*by, "tick", F.col("value").cast("double")), by))
+    # read twice: as a mask, and for the budgets
+    adaptive = cut(replay(ranked, [config], "urgency_adaptive", by, small=small).select(*by, "tick", "value", "sampled"))
     masks = adaptive.withColumn("method", F.lit("adaptive"))
     for name in policies:
-        masks = masks.unionByName(replay(trace, [config], name, by).withColumn("method", F.lit(name)))
-    columns = [*by, "method", "tick", "value", "sampled"]
+        played = replay(ranked, [config], name, by, small=small).select(*by, "tick", "value", "sampled")
+        masks = masks.unionByName(played.withColumn("method", F.lit(name)))
+    if not small:  # one window a key ranks rows where they are; row ranges would sort them once more
+        ranks = ranked.select(*[F.col(k).alias(f"__r{i}") for i, k in enumerate([*by, "tick"])], "peak_rank", "n_ticks")
+        match = F.lit(True)
+        for i, k in enumerate([*by, "tick"]):
+            match = match & masks[k].eqNullSafe(ranks[f"__r{i}"])
+        masks = masks.join(ranks.hint("merge"), match)
+    columns = [c for c in [*by, "method", "tick", "value", "sampled", "peak_rank", "n_ticks"] if c in masks.columns]
     rows = masks.select(*columns).withColumn("variant", F.lit(0))
-    budgets = reuse(budget_comparison(trace, config, by, tolerance, kept=adaptive))
-    fixed = trace.join(budgets.select(*by, "fixed_interval"), by).withColumn("method", F.lit("fixed_interval")).withColumn(
+    budgets = cut(budget_comparison(trace, config, by, tolerance, kept=adaptive))  # one row a series
+    fixed = ranked.join(budgets.select(*by, "fixed_interval"), by).withColumn("method", F.lit("fixed_interval")).withColumn(
         "sampled", F.pmod(F.col("tick"), F.col("fixed_interval")) == 0)
     rows = rows.unionByName(fixed.select(*columns).withColumn("variant", F.lit(0)))
-    phases = phase_masks(trace, budgets, by).withColumn("method", F.lit("budget_matched"))
-    rows = rows.unionByName(phases.select(*columns, F.col("phase").alias("variant")))
-    return mask_report(rows, methods)
+    blocks = phase_masks(ranked, budgets, by, PHASES_TOGETHER).withColumn("method", F.lit("budget_matched")).withColumn(
+        "variant", F.col("phase"))
+    return mask_report(rows, methods, small=small).unionByName(mask_report(blocks, methods, PHASES_TOGETHER, small))
 
 
 def envelope_sweep(trace: DataFrame, config: dict, min_intervals: Sequence[int], max_interval: int = 20,

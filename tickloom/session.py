@@ -142,6 +142,12 @@ def reuse(df: DataFrame, by: Sequence[str] | None = None) -> DataFrame:
     return df if is_small(df, by) else cut(df)
 
 
+def task_count(df: DataFrame) -> int:
+    """Tasks for costly work on few bytes, which adaptive execution would put together by size: four a core, at most the shuffle partitions."""
+    base = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return min(base, 4 * df.sparkSession.sparkContext.defaultParallelism)
+
+
 def range_count(df: DataFrame) -> int:
     """Row ranges for ``df``: about ``RANGE_BYTES`` each, at least the shuffle partitions.
 
