@@ -212,3 +212,20 @@ def test_two_pass_scans_no_row_per_phase(spark, monkeypatch):
     phases = sum(r["method"] == "budget_matched" for r in report)
     assert phases > 24 and len(report) == phases + 3
     assert sum(scanned) <= 600 * (3 + math.ceil(phases / 8))
+
+
+def test_ranges_do_not_follow_the_shuffle_partitions(spark, tmp_path):
+    """A large input is cut by its bytes and the cores: each range sends sampled keys and task results to the driver."""
+    from tickloom.session import range_count
+
+    spark.range(5000).select((F.col("id") % 7).alias("k"), F.col("id").alias("t")).write.parquet(f"{tmp_path}/t")
+    df = spark.read.parquet(f"{tmp_path}/t")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "900")
+    try:
+        ranges = range_count(df)
+        many = rows_of(sc.number_rows(df, ["k"], ["t"], "n", small=False))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert ranges == 4 * spark.sparkContext.defaultParallelism
+    assert many == rows_of(sc.number_rows(df, ["k"], ["t"], "n", small=True))
