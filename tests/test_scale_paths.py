@@ -229,3 +229,54 @@ def test_ranges_do_not_follow_the_shuffle_partitions(spark, tmp_path):
         spark.conf.set("spark.sql.shuffle.partitions", before)
     assert ranges == 4 * spark.sparkContext.defaultParallelism
     assert many == rows_of(sc.number_rows(df, ["k"], ["t"], "n", small=True))
+
+
+@pytest.fixture
+def schedules(spark, tmp_path):
+    """Events of five schedules, one of them far longer than the others."""
+    rng = random.Random(11)
+    rows = [(i, i % 5 if i % 3 else 0, rng.choice(["click", "signup", "purchase", "view", "error"]), rng.uniform(0, 9)) for i in range(400)]
+    spark.createDataFrame(rows, "event_id long, user_id long, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
+    return str(tmp_path)
+
+
+@pytest.mark.parametrize("name", ["win14_crossed_schedule_events", "win15_directional_windows", "joi09_points_in_phase", "joi21_stage_at_time"])
+def test_short_schedules_are_not_cut(spark, schedules, name):
+    """Large tables of short schedules take one window per schedule: nothing is sampled for ranges or written."""
+    from __spark_entry__ import QUERIES
+
+    found, plans = [], []
+    for path, limit in (("single", "65536"), ("auto", "65536"), ("auto", "9")):
+        spark.conf.set("spark.tickloom.path", path)
+        spark.conf.set("spark.tickloom.smallInputBytes", "1")
+        spark.conf.set("spark.tickloom.shortRows", limit)
+        try:
+            result = QUERIES[name](spark, schedules)
+            plans.append(result._jdf.queryExecution().executedPlan().toString())
+            found.append(rows_of(result.na.fill("-").na.fill(-1)))
+        finally:
+            spark.conf.set("spark.tickloom.path", "auto")
+            spark.conf.unset("spark.tickloom.smallInputBytes")
+            spark.conf.unset("spark.tickloom.shortRows")
+    assert "ExistingRDD" not in plans[1]
+    assert "ExistingRDD" in plans[2]  # schedules above the limit are still cut
+    close(found[0], found[1])
+    close(found[0], found[2])
+
+
+def test_both_sides_of_a_look_up_must_be_short(spark):
+    """A side without a note may hold a long key, so the union is cut as before."""
+    from tickloom.operators.reconstruct import asof_backward
+    from tickloom.session import mark_short
+
+    rng = random.Random(3)
+    points = spark.createDataFrame([("a", rng.random(), i) for i in range(50)], "k string, t double, i long")
+    marks = spark.createDataFrame([("a", rng.random(), i) for i in range(50)], "k string, t double, m long")
+    spark.conf.set("spark.tickloom.smallInputBytes", "1")
+    try:
+        short = mark_short(points, ["k"], "k")
+        plan = lambda right: asof_backward(short, right, ["k"], "t", ["m"])._jdf.queryExecution().executedPlan().toString()
+        assert sc.CHUNK in plan(marks)
+        assert sc.CHUNK not in plan(mark_short(marks, ["k"], "k"))
+    finally:
+        spark.conf.unset("spark.tickloom.smallInputBytes")

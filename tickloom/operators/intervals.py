@@ -11,6 +11,7 @@ from tickloom.functions.numeric import descending, safe_div
 from tickloom.operators.fidelity import KEYS, runs
 from tickloom.operators.reconstruct import asof_forward, interval_join
 from tickloom.operators.scans import group_stats, number_rows, percentiles, previous, running_sum, scan
+from tickloom.session import short_as
 
 
 def anomaly_windows(df: DataFrame, by: Sequence[str] = KEYS, z: float = 3.0, min_consecutive: int = 3,
@@ -74,7 +75,7 @@ def bursts(df: DataFrame, by: Sequence[str] = KEYS, percentile: float = 0.92, mi
     grouped = scan(gap.withColumn("__new", F.when(fresh, 1).otherwise(0)), by, ["start_tick"],
                    {"burst": running_sum(F.col("__new"))})
     merged = grouped.groupBy(*by, "burst").agg(F.min("start_tick").alias("start"), F.max("__end").alias("end"))
-    inside = interval_join(df.select(*by, "tick", "value"), merged, by, "tick", "start", "end", ["burst", "start", "end"])
+    inside = interval_join(df.select(*by, "tick", "value"), short_as(merged, df, by), by, "tick", "start", "end", ["burst", "start", "end"])
     peaks = inside.groupBy(*by, "burst", "start", "end").agg(F.max("value").alias("peak"))
     return peaks.select(*by, F.col("burst").cast("long").alias("burst"), "start", "end", "peak")
 
@@ -83,7 +84,7 @@ def burst_peak_recall(df: DataFrame, found: DataFrame, by: Sequence[str] = KEYS,
     """Kept share of the largest ceil(share * length) values inside each burst."""
     by = list(by)
     keys = by + ["burst"]
-    inside = interval_join(df.select(*by, "tick", "value", "sampled"), found, by, "tick", "start", "end",
+    inside = interval_join(df.select(*by, "tick", "value", "sampled"), short_as(found, df, by), by, "tick", "start", "end",
                            ["burst", "start", "end"], how="left").where(F.col("burst").isNotNull())
     ranked = number_rows(inside, keys, [descending("value"), descending("tick")], "__rank")
     k = F.greatest(F.lit(1), F.ceil((F.col("end") - F.col("start")) * F.lit(share)))

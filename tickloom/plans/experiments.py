@@ -13,6 +13,7 @@ from tickloom.plans.inputs import HOUR, PHASES, SEC, events, hour_of, phases, se
 from tickloom.plans.registry import q6, query
 from tickloom.plans.sqltext import EVENTS, USERS, corr
 from tickloom.plans.windows import FILLED, replicas
+from tickloom.session import note_short
 from tickloom.sources import schedules as sc
 from tickloom.sources.tables import event_trace, user_trace
 
@@ -53,7 +54,8 @@ PH = f"""{PHASES}, pts AS (SELECT CAST(user_id AS VARCHAR) AS shape, event_id, e
 
 
 def schedule_points(spark, d):
-    return events(spark, d).select(F.col("user_id").cast("string").alias("shape"), "event_id", (F.col("event_id") * 0.25).alias("elapsed_s"))
+    points = events(spark, d).select(F.col("user_id").cast("string").alias("shape"), "event_id", (F.col("event_id") * 0.25).alias("elapsed_s"))
+    return note_short(points, "shape")
 
 
 @query("joi09_points_in_phase", f"""WITH {PH} SELECT p.shape, p.event_id, name, direction FROM pts p JOIN phases f ON f.shape = p.shape AND p.elapsed_s >= start_s AND p.elapsed_s < end_s""")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.functions.numeric import micros
+from tickloom.session import note_short
 from tickloom.sources.tables import table
 
 
@@ -51,7 +52,7 @@ def phases(spark, d) -> DataFrame:
         F.concat(F.lit("p"), F.col("event_id").cast("string")).alias("name"),
         (F.floor("value") + 1).cast("int").alias("duration_s"),
         F.floor(F.col("value") * 2).cast("int").alias("users"), direction.alias("direction"))
-    return phase_bounds(number_rows(rows, ["shape"], ["event_id"], "seq"))
+    return phase_bounds(number_rows(note_short(rows, "shape"), ["shape"], ["event_id"], "seq"))
 
 
 PHASES = """raw_phases AS (

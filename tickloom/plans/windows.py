@@ -17,6 +17,7 @@ from tickloom.plans.fidelity import kept_events, rounded
 from tickloom.plans.inputs import HOUR, PHASES, events, hour_of, phases
 from tickloom.plans.registry import q6, query
 from tickloom.plans.sqltext import EVENTS, MASKED, USERS, sampler
+from tickloom.session import note_short
 from tickloom.sources import schedules as sc
 from tickloom.sources.tables import event_trace, user_trace
 
@@ -224,7 +225,7 @@ edges AS (SELECT shape, 'phase_start' AS event, name AS phase, start_s AS at FRO
 SELECT e.shape, event, phase, e.at AS scheduled_offset_s, min(c.at)::DOUBLE AS seen_at FROM edges e JOIN clock c ON c.shape = e.shape AND c.at >= e.at GROUP BY 1, 2, 3, 4""")
 def win14(spark, d):
     clock = events(spark, d).select(F.col("user_id").cast("string").alias("shape"), (F.col("event_id") * 0.75).alias("elapsed_s"))
-    return sc.crossed_boundaries(clock, phases(spark, d), ["shape"])
+    return sc.crossed_boundaries(note_short(clock, "shape"), phases(spark, d), ["shape"])
 
 
 @query("win15_transition_windows", f"""WITH {PHASES}, m AS (SELECT *, min(start_s) OVER (PARTITION BY shape, direction ORDER BY start_s ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS nxt FROM phases WHERE direction <> 'stable'),

@@ -19,7 +19,7 @@ MAX_RANGES = 100_000
 UNKNOWN_BYTES = 1 << 60
 # Keys of at most so many rows are scanned with one plain window per series, however many there are.
 SHORT_ROWS = 1 << 16
-SHORT = "tickloom.short"  # in the metadata of a tick column: the keys by which no series is longer
+SHORT = "tickloom.short"  # in the metadata of a tick or key column: the keys by which no series is longer
 
 
 def local_session(cores: str = "8", app: str = "tickloom") -> SparkSession:
@@ -103,10 +103,9 @@ def mark_short(df: DataFrame, by: Sequence[str], tick: str = "tick") -> DataFram
     return df.select(*[F.col(c).alias(c, metadata=meta) if c == tick else F.col(c) for c in df.columns])
 
 
-def is_short(df: DataFrame, by: Sequence[str], tick: str = "tick") -> bool:
-    """Whether the tick column says that no key of ``by`` is long. Results do not depend on it, only the plan."""
-    noted = next((f.metadata.get(SHORT) for f in df.schema.fields if f.name == tick), None)
-    return noted is not None and set(noted) <= set(by)
+def is_short(df: DataFrame, by: Sequence[str]) -> bool:
+    """Whether a column says that no key of ``by`` is long. Results do not depend on it, only the plan."""
+    return any(SHORT in f.metadata and set(f.metadata[SHORT]) <= set(by) for f in df.schema.fields)
 
 
 def count_short(df: DataFrame, by: Sequence[str]) -> bool:
@@ -118,6 +117,16 @@ def count_short(df: DataFrame, by: Sequence[str]) -> bool:
     return (longest or 0) <= limit
 
 
+def note_short(df: DataFrame, key: str) -> DataFrame:
+    """``df``, with a note on the column ``key`` if it is large and its keys were counted and found short."""
+    return mark_short(df, [key], key) if not is_small(df) and count_short(df, [key]) else df
+
+
+def short_as(df: DataFrame, of: DataFrame, by: Sequence[str]) -> DataFrame:
+    """``df``, with no more rows of a key than ``of``, noted as short if ``of`` is."""
+    return mark_short(df, by, by[0]) if is_short(of, by) else df
+
+
 def is_small(df: DataFrame, by: Sequence[str] | None = None) -> bool:
     """Whether one series of ``df`` surely fits into one task.
 
@@ -133,6 +142,11 @@ def is_small(df: DataFrame, by: Sequence[str] | None = None) -> bool:
     return input_bytes(df) <= limit or (by is not None and is_short(df, by))
 
 
+def is_small_union(both: DataFrame, sides: Sequence[DataFrame], by: Sequence[str]) -> bool:
+    """``is_small`` of a union, which shows the notes of its first side only: its keys are short where those of all sides are."""
+    return is_small(both) or all(is_short(s, by) and is_small(s, by) for s in sides)
+
+
 def chunk_ticks(spark: SparkSession) -> int:
     return int(_setting(spark, "spark.tickloom.chunkTicks", str(CHUNK_TICKS)))
 
